@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, simhash
+from . import chat, langid, mixing, packing, simhash, suffix_dedup
 from .common import documents, table
 
 
@@ -13,6 +13,13 @@ def fold(doc_id, n):
     return F.crc32(doc_id.cast("string")) % n
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_pivotal_mix(spark, sf_dir):
     units = mixing.mix(documents(spark, sf_dir))
     each = F.explode(F.sequence(F.lit(1), F.col("copies_of_row").cast("int")))
@@ -70,7 +77,7 @@ from e group by conv_id""",
 
 
 def queries():
-    return {f.__name__: f for f in (op4_pivotal_mix, op5_cross_parsing, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op4_pivotal_mix, op5_cross_parsing, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints)}
 
 
 def oracle_sql():

@@ -24,11 +24,11 @@ lost executor's part is computed again from the input.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,9 +268,9 @@ def judge(name: np.ndarray, count: np.ndarray, doc: np.ndarray, rows: np.ndarray
 
 
 def _chunk(table: pa.Table) -> Chunk:
-    ids = np.array([LAST if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-    texts = [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
-    return Chunk(ids, texts)
+    """The chunk in an order of its own, so that each step numbers runs alike however its rows arrived."""
+    pairs = sorted((LAST if i is None else i, t or b"") for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()))
+    return Chunk(np.array([i for i, _ in pairs], np.int64), [t for _, t in pairs])
 
 
 _OUT = "to long, back long, data binary"
@@ -364,7 +364,7 @@ class Plan:
         return start, doc, cls, (h[0][rep], h[1][rep]), least_of(cls, doc, len(rep))
 
     # 2 and 3: chunk -> bucket: distinct runs, distinct popular windows
-    def send(self, key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def send(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([], [], [])
         chunk = _chunk(table)
@@ -405,11 +405,11 @@ class Plan:
         return _rows(table.column("back").to_pylist(), [mine] * len(got), out)
 
     # 4: chunk: cut
-    def cut(self, key, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64())], ["doc_id", "starts", "ends", "kept", "n_bytes"])
         chunk = _chunk(table)
-        first, second = answers.filter(pa.compute.equal(answers["step"], 1)), answers.filter(pa.compute.equal(answers["step"], 2))
+        first, second = answers.filter(pc.equal(answers["step"], 1)), answers.filter(pc.equal(answers["step"], 2))
         runs, popular = self._selected(chunk, first)
         cls, rep, _ = self._distinct(chunk, runs)
         order, parts = by_bucket(bucket_of(chunk.name[rep], self.buckets))
@@ -443,7 +443,7 @@ class Plan:
             kept.append(chunk.data[a:b][~mask].tobytes() if len(step) else chunk.data[a:b].tobytes())
             a = b
         sizes = np.diff(np.concatenate([[0], chunk.ends]))
-        return pa.table([table.column("doc_id").combine_chunks(), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "starts", "ends", "kept", "n_bytes"])
+        return pa.table([pa.array([None if i == LAST else int(i) for i in chunk.ids], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "starts", "ends", "kept", "n_bytes"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -459,8 +459,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     plan = Plan(buckets, min(8, max(4, math.ceil((math.log2(total + 2) + 8) / 8))))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("chunk"), "doc_id", "text")
     chunks = dealt.groupBy("chunk")
-    first = chunks.applyInArrow(plan.report, _OUT).groupBy("to").applyInArrow(plan.count, _OUT)
-    sent = chunks.cogroup(first.groupBy("to")).applyInArrow(plan.send, _OUT)
-    second = sent.groupBy("to").applyInArrow(plan.decide, _OUT)
+    report, count, decide = (lambda t: plan.report(t)), (lambda t: plan.count(t)), (lambda t: plan.decide(t))
+    send, cut = (lambda t, answers: plan.send(t, answers)), (lambda t, answers: plan.cut(t, answers))
+    first = chunks.applyInArrow(report, _OUT).groupBy("to").applyInArrow(count, _OUT)
+    sent = chunks.cogroup(first.groupBy("to")).applyInArrow(send, _OUT)
+    second = sent.groupBy("to").applyInArrow(decide, _OUT)
     answers = first.withColumn("step", F.lit(1)).union(second.withColumn("step", F.lit(2)))
-    return chunks.cogroup(answers.groupBy("to")).applyInArrow(plan.cut, "doc_id long, starts array<long>, ends array<long>, kept binary, n_bytes long")
+    return chunks.cogroup(answers.groupBy("to")).applyInArrow(cut, "doc_id long, starts array<long>, ends array<long>, kept binary, n_bytes long")
