@@ -69,3 +69,9 @@ def running_starts(lengths: Column, block: int = 256) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: before[at(i)] + F.aggregate(F.slice(lengths, at(i) * block + 1, i % block), F.lit(0).cast("long"), lambda a, x: a + x))
     )
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) on columns that are dear to compute. The row number keeps Catalyst from pushing the
+    filter below the projection, which would compute those columns once for the filter and once more."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")

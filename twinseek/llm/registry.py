@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, simhash, suffix_dedup
+from . import chat, gam, langid, mixing, packing, quality_rules, simhash, suffix_dedup
 from .common import documents, table
 
 
@@ -33,6 +33,11 @@ def op5_cross_parsing(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_ratio(spark, sf_dir):
+    found = quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op7_simhash_ball(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,6 +66,12 @@ def op9_schema_fingerprints(spark, sf_dir):
     )
 
 
+def op10_gam(spark, sf_dir):
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    found = gam.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels").where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 ORACLES = {
     "op9_schema_fingerprints": f"""
 with r as (
@@ -77,7 +88,7 @@ from e group by conv_id""",
 
 
 def queries():
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_pivotal_mix, op5_cross_parsing, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op4_pivotal_mix, op5_cross_parsing, op6_ngram_ratio, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints, op10_gam)}
 
 
 def oracle_sql():
