@@ -58,17 +58,32 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(flat, " "), "")).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def total(longs: Column) -> Column:
+    return F.aggregate(longs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def running_starts(lengths: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array of longs. Sums of whole blocks first, so the work is n * block
     rather than n * n and no array is copied per element."""
-    n = F.size(lengths)
-    starts = F.sequence(F.lit(0), F.greatest((n - 1) / block, F.lit(0)).cast("int"))
-    sums = F.transform(starts, lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), F.lit(0).cast("long"), lambda a, x: a + x))
-    before = F.transform(starts, lambda b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0).cast("long"), lambda a, x: a + x))
-    at = lambda i: (i / block).cast("int")
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: before[at(i)] + F.aggregate(F.slice(lengths, at(i) * block + 1, i % block), F.lit(0).cast("long"), lambda a, x: a + x))
-    )
+
+    def of(array: Column) -> Column:
+        last = F.greatest(F.size(array) - 1, F.lit(0))
+        blocks = F.sequence(F.lit(0), (last / block).cast("int"))
+        at = lambda i: (i / block).cast("int")
+
+        def placed(before: Column) -> Column:
+            starts = F.transform(F.sequence(F.lit(0), last), lambda i: before[at(i)] + total(F.slice(array, at(i) * block + 1, i % block)))
+            return F.slice(starts, F.lit(1), F.size(array))
+
+        sums = F.transform(blocks, lambda b: total(F.slice(array, b * block + 1, F.lit(block))))
+        return let(sums, lambda s: let(F.transform(blocks, lambda b: total(F.slice(s, F.lit(1), b))), placed))
+
+    return let(lengths, of)
 
 
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:

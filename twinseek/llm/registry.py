@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, gam, langid, mixing, packing, quality_rules, simhash, suffix_dedup
+from . import chat, gam, langid, mixing, packing, pii, quality_rules, simhash, spotsigs, suffix_dedup
 from .common import documents, table
 
 
@@ -13,6 +13,12 @@ def fold(doc_id, n):
     return F.crc32(doc_id.cast("string")) % n
 
 
+def op1_weak_labels(spark, sf_dir):
+    found = pii.detect(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
     return found.select(
@@ -20,6 +26,19 @@ def op2_suffix_dedup(spark, sf_dir):
     )
 
 
+def op3_spot_signatures(spark, sf_dir):
+    found = spotsigs.compare(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op4_pivotal_mix(spark, sf_dir):
     units = mixing.mix(documents(spark, sf_dir))
     each = F.explode(F.sequence(F.lit(1), F.col("copies_of_row").cast("int")))
@@ -88,7 +107,7 @@ from e group by conv_id""",
 
 
 def queries():
-    return {f.__name__: f for f in (op2_suffix_dedup, op4_pivotal_mix, op5_cross_parsing, op6_ngram_ratio, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints, op10_gam)}
+    return {f.__name__: f for f in (op1_weak_labels, op2_suffix_dedup, op3_spot_signatures, op4_pivotal_mix, op5_cross_parsing, op6_ngram_ratio, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints, op10_gam)}
 
 
 def oracle_sql():
