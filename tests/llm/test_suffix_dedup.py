@@ -57,7 +57,8 @@ def test_matches_brute_force(spark):
 
 
 def test_popular_names_go_by_window(spark, monkeypatch):
-    monkeypatch.setattr(sd, "POPULAR", 3)
+    monkeypatch.setattr(sd, "FEW", 3)
+    monkeypatch.setattr(sd, "POPULAR", 4)
     check(spark, made(2) + [(200 + i, "a popular passage that very many documents share, word by word, " + str(i) * 3, "en", None, None) for i in range(9)])
 
 
@@ -76,6 +77,6 @@ def test_suffix_sort():
     data[2000:2400] = data[100:500]
     at = r.choice(3900, 900, replace=False)
     group = np.sort(r.integers(0, 9, 900))
-    order, equal = sd.sort_suffixes(data, at, group)
+    order, equal = sd.sort_suffixes(sd.Hashes(data), data, at, group)
     key = [(group[i], data[at[i] : at[i] + 50].tobytes()) for i in order]
     assert key == sorted(key) and [bool(e) for e in equal] == [False, *(a == b for a, b in zip(key, key[1:]))]

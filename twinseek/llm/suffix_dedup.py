@@ -24,7 +24,6 @@ lost executor's part is computed again from the input.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +34,26 @@ from pyspark.sql import functions as F
 WINDOW = 50
 K = 24
 SPAN = WINDOW - K + 1  # K-byte strings of a window, and most windows of a run
-WIDTH = SPAN + WINDOW - 1  # most bytes of a run
+WIDTH = -(-(SPAN + WINDOW) // 8) * 8  # more than the bytes of a run, in whole words of 8
 #: Bytes of text in a chunk, and bytes hashed at a time. They set task and array sizes only.
 CHUNK, BLOCK = 6 << 20, 1 << 18
-#: Estimated documents from which on a name is dealt by window.
-POPULAR = 32
+#: Estimated documents from which on a name is dealt by window. A chunk reports a name as found in 1, 2, FEW or
+#: POPULAR documents, rounded down.
+FEW, POPULAR = 32, 512
 LAST = np.iinfo(np.int64).max  # a null doc_id: later than all others
 U = np.uint64
 
 
-@lru_cache(2)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n + 1, base, U), np.full(n + 1, inverse, U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers 0 .. n of a base and of its inverse modulo 2^64."""
+    if base not in _powers or len(_powers[base][0]) <= n:
+        up, down = np.full(n + 1, base, U), np.full(n + 1, pow(base, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[base]
 
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -59,8 +63,7 @@ class Hashes:
     """Prefix polynomial hashes of a byte array."""
 
     def __init__(self, data: np.ndarray, base: int = BASES[0]):
-        size = 1 << max(19, len(data).bit_length())
-        self.up, self.down = powers(base, size)
+        self.up, self.down = powers(base, BLOCK + 2 * WINDOW)
         self.prefix = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * self.up[: len(data)], out=self.prefix[1:])
 
@@ -68,6 +71,24 @@ class Hashes:
         return (self.prefix[start + length] - self.prefix[start]) * self.down[start]
 
 
+class RowHashes:
+    """Prefix polynomial hashes of rows of WIDTH bytes, of which the last is never used; a place is row * WIDTH + offset."""
+
+    def __init__(self, rows: np.ndarray):
+        up, self.down = powers(BASES[0], BLOCK + 2 * WINDOW)
+        self.prefix = np.zeros((len(rows), WIDTH), U)
+        np.cumsum((rows[:, :-1].astype(U) + U(1)) * up[: WIDTH - 1], axis=1, out=self.prefix[:, 1:])
+        self.flat = self.prefix.reshape(-1)
+
+    def of(self, at: np.ndarray, length) -> np.ndarray:
+        return (self.flat[at + length] - self.flat[at]) * self.down[at % WIDTH]
+
+    def names(self) -> np.ndarray:
+        """Hashes of all K-byte strings of each row."""
+        n = WIDTH - K
+        return mixed((self.prefix[:, K:] - self.prefix[:, :-K]) * self.down[:n])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     return h ^ (h >> U(29))
@@ -82,7 +103,7 @@ class Chunk:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         found = [self._runs(a, min(len(self.data), a + BLOCK)) for a in range(0, len(self.data), BLOCK)]
         self.start, self.count, self.name = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found) if found else ((), (), ()), (np.int64, np.int64, U)))
-        self.doc = doc_ids[np.searchsorted(self.ends, self.start, "right")] if len(self.start) else np.zeros(0, np.int64)
+        self.doc = np.repeat(doc_ids, np.diff(np.append(0, np.searchsorted(self.start, self.ends))))
 
     def _runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows that start in [a, b). A block's edge splits a run, which changes no result."""
@@ -118,9 +139,9 @@ class Chunk:
             count = np.minimum(left, SPAN)
         return at + a, count, least[at]
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct names, an estimate of the documents that have each: 1, 2 or POPULAR)."""
-        order = np.lexsort((self.doc, self.name))
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct names, level of the documents that have each: 0 .. 3 for 1, 2, FEW, POPULAR; name of each run)."""
+        order = np.argsort(self.name, kind="stable")  # runs of a name stay in the order of documents
         name, doc = self.name[order], self.doc[order]
         new = np.ones(len(name), bool)
         new[1:] = name[1:] != name[:-1]
@@ -128,7 +149,9 @@ class Chunk:
         other[1:] |= doc[1:] != doc[:-1]
         at = np.flatnonzero(new)
         docs = np.add.reduceat(other, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-        return name[at], np.where(docs >= POPULAR, POPULAR, np.minimum(docs, 2)).astype(np.uint8)
+        of = np.empty(len(name), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return name[at], np.searchsorted([2, FEW, POPULAR], docs, "right").astype(np.uint8), of
 
     def bytes_of(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Bytes of runs, one row each, zero beyond their end."""
@@ -164,12 +187,16 @@ def unpack(data: bytes, **types) -> list[np.ndarray]:
 
 def classes(rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Number of each row's class of rows with equal keys and equal bytes. Hashes put equal rows side by side, bytes decide."""
-    flat = rows.reshape(-1)
-    h = Hashes(flat).of(np.arange(len(rows)) * rows.shape[1], rows.shape[1]) if len(rows) else np.zeros(0, U)
-    order = np.lexsort((h, *keys))
+    words = np.ascontiguousarray(rows).view(U).reshape(len(rows), WIDTH // 8)
+    h = np.zeros(len(rows), U)
+    for k in range(WIDTH // 8):
+        h = mixed(h * U(BASES[1]) + words[:, k])
+    for k in keys:
+        h = mixed(h + k.astype(U))
+    order = np.argsort(h, kind="stable")
     new = np.ones(len(rows), bool)
-    sorted_rows = rows[order]
-    new[1:] = (sorted_rows[1:] != sorted_rows[:-1]).any(axis=1)
+    there = words[order]
+    new[1:] = (there[1:] != there[:-1]).any(axis=1)
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
     out = np.empty(len(rows), np.int64)
@@ -183,18 +210,21 @@ def least_of(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(h: RowHashes | Hashes, data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, equal): suffixes `at` of data, WINDOW bytes of each, sorted within groups (which are ascending);
     equal[i] tells that the i-th in order repeats the one before it in its group."""
-    h = Hashes(data)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), WINDOW, np.int64)
-        for _ in range(WINDOW.bit_length()):
+        out = np.full(len(a), WINDOW, a.dtype)
+        differ = np.flatnonzero(h.of(a, WINDOW) != h.of(b, WINDOW))
+        a, b = a[differ], b[differ]
+        lo, hi = np.zeros(len(a), a.dtype), np.full(len(a), WINDOW - 1, a.dtype)
+        for _ in range((WINDOW - 1).bit_length()):
             mid = (lo + hi + 1) >> 1
             same = h.of(a, mid) == h.of(b, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        out[differ] = lo
+        return out
 
     def less(a: np.ndarray, b: np.ndarray, if_equal: np.ndarray) -> np.ndarray:
         n = common(a, b)
@@ -238,35 +268,54 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
     return order, equal
 
 
-def judge(name: np.ndarray, count: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def judge(count: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of one bucket: (least doc_id with the run, bits of its windows that a still smaller doc_id has)."""
-    cls = classes(rows, count, name)
+    cls = classes(rows, count)
     n = int(cls.max()) + 1 if len(cls) else 0
     least = least_of(cls, doc, n)
     rep = np.empty(n, np.int64)
     rep[cls] = np.arange(len(cls))
-    by_name = np.argsort(name[rep], kind="stable")
-    rep, names = rep[by_name], name[rep][by_name]
-    several = np.zeros(n, bool)
-    if n:
-        twin = names[1:] == names[:-1]
-        several[1:] |= twin
-        several[:-1] |= twin
-    rep, names = rep[several], names[several]
-    windows = count[rep]
-    owner = np.repeat(np.arange(len(rep)), windows)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    data = rows[rep].reshape(-1)
-    group = np.cumsum(np.append(False, names[1:] != names[:-1])) if len(rep) else np.zeros(0, np.int64)
-    order, equal = sort_suffixes(data, owner * WIDTH + nth, group[owner])
-    same = np.cumsum(~equal) - 1
-    window_least = least_of(same, least[cls[rep]][owner[order]], int(same[-1]) + 1 if len(same) else 0)
-    smaller = window_least[same] < least[cls[rep]][owner[order]]
     bits = np.zeros(n, np.uint32)
-    np.bitwise_or.at(bits, cls[rep][owner[order][smaller]], (np.uint32(1) << nth[order][smaller].astype(np.uint32)))
+    for some in _by_name(rows[rep]):
+        _judge_windows(count[rep[some]], least[some], rows[rep[some]], bits, some)
     return least[cls], bits[cls]
 
 
+def _by_name(rows: np.ndarray, most: int = 50_000):
+    """Rows whose name other rows have too, by name, in blocks of about `most` that do not part a name."""
+    name = np.concatenate([RowHashes(rows[a : a + most]).names()[:, :SPAN].min(axis=1) for a in range(0, len(rows), most)]) if len(rows) else np.zeros(0, U)
+    order = np.argsort(name, kind="stable")
+    twin = name[order][1:] == name[order][:-1]
+    several = np.append(False, twin) | np.append(twin, False) if len(rows) else np.zeros(0, bool)
+    order = order[several]
+    edge = np.flatnonzero(np.append(name[order][1:] != name[order][:-1], True)) + 1
+    a = 0
+    while a < len(order):
+        b = int(edge[min(np.searchsorted(edge, a + most), len(edge) - 1)])
+        yield order[a:b]
+        a = b
+
+
+def _judge_windows(count: np.ndarray, least: np.ndarray, rows: np.ndarray, bits: np.ndarray, some: np.ndarray) -> None:
+    h = RowHashes(rows)
+    names = h.names()
+    name = names[:, :SPAN].min(axis=1)
+    # Equal windows hold their name's first place at the same offset, so only those are sorted against each other.
+    place = np.where(names == name[:, None], np.arange(names.shape[1]), names.shape[1])
+    place = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1]
+    owner = np.repeat(np.arange(len(rows)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    group = (np.cumsum(np.append(False, name[1:] != name[:-1])) * WIDTH)[owner] + place[owner, nth] - nth
+    by = np.argsort(group, kind="stable")
+    owner, nth, group = owner[by], nth[by], group[by]
+    order, equal = sort_suffixes(h, rows.reshape(-1), (owner * WIDTH + nth).astype(np.int32), group)
+    owner, nth = owner[order], nth[order]
+    same = np.cumsum(~equal) - 1
+    first = least_of(same, least[owner], int(same[-1]) + 1)
+    smaller = first[same] < least[owner]
+    np.bitwise_or.at(bits, some[owner[smaller]], np.uint32(1) << nth[smaller].astype(np.uint32))
+
+
 def _chunk(table: pa.Table) -> Chunk:
     """The chunk in an order of its own, so that each step numbers runs alike however its rows arrived."""
     pairs = sorted((LAST if i is None else i, t or b"") for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()))
@@ -289,11 +338,11 @@ class Plan:
     # 1: chunk -> bucket: names
     def report(self, table: pa.Table) -> pa.Table:
         chunk = _chunk(table)
-        names, docs = chunk.names()
+        names, level, _ = chunk.names()
         order, parts = by_bucket(bucket_of(names, self.buckets))
         short = np.ascontiguousarray(names[order].view(np.uint8).reshape(-1, 8)[:, : self.name_bytes])
         mine = table.column("chunk")[0].as_py()
-        return _rows([b for b, *_ in parts], [mine] * len(parts), [pack(n=short[x:y], d=np.packbits(np.stack([docs[order[x:y]] == 2, docs[order[x:y]] == POPULAR]))) for _, x, y in parts])
+        return _rows([b for b, *_ in parts], [mine] * len(parts), [pack(n=short[x:y], d=np.packbits(np.stack([level[order[x:y]] & 1, level[order[x:y]] >> 1]))) for _, x, y in parts])
 
     # 1: bucket -> chunk: bits of its names that several documents share, and of those that very many do
     def count(self, table: pa.Table) -> pa.Table:
@@ -303,9 +352,9 @@ class Plan:
             n = len(raw) // self.name_bytes
             wide = np.zeros((n, 8), np.uint8)
             wide[:, : self.name_bytes] = raw.reshape(n, self.name_bytes)
-            two, many = np.unpackbits(bits)[: 2 * n].reshape(2, n)
+            low, high = np.unpackbits(bits)[: 2 * n].reshape(2, n)
             names.append(wide.reshape(-1).view(U))
-            weights.append(1 + two.astype(np.int64) + (POPULAR - 1) * many.astype(np.int64))
+            weights.append(np.array([1, 2, FEW, POPULAR])[low + 2 * high])
             sizes.append(n)
         name, weight = np.concatenate(names), np.concatenate(weights)
         order = np.argsort(name, kind="stable")
@@ -323,7 +372,7 @@ class Plan:
 
     def _selected(self, chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(runs to judge as runs, runs to judge by window), as indices."""
-        names, _ = chunk.names()
+        names, _, name_of = chunk.names()
         order, parts = by_bucket(bucket_of(names, self.buckets))
         state = np.zeros(len(names), np.uint8)
         said = dict(zip(answers.column("back").to_pylist(), answers.column("data")))
@@ -331,13 +380,13 @@ class Plan:
             (bits,) = unpack(said[b].as_py(), b=np.uint8)
             shared, many = np.unpackbits(bits)[: 2 * (y - x)].reshape(2, y - x)
             state[order[x:y]] = shared + many
-        of = state[np.searchsorted(names, chunk.name)] if len(names) else np.zeros(0, np.uint8)
+        of = state[name_of]
         return np.flatnonzero(of == 1), np.flatnonzero(of == 2)
 
     def _distinct(self, chunk: Chunk, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class of each run, a run of each class, least doc_id of each class)."""
         rows = chunk.bytes_of(chunk.start[runs], chunk.count[runs])
-        cls = classes(rows, chunk.count[runs], chunk.name[runs])
+        cls = classes(rows, chunk.count[runs])
         n = int(cls.max()) + 1 if len(cls) else 0
         rep = np.empty(n, np.int64)
         rep[cls[::-1]] = np.arange(len(cls))[::-1]
@@ -381,17 +430,17 @@ class Plan:
             count = chunk.count[rep[i]]
             rows = chunk.bytes_of(chunk.start[rep[i]], count)
             inside = np.arange(WIDTH) < (count + WINDOW - 1)[:, None]
-            out.append(pack(n=chunk.name[rep[i]], c=count.astype(np.uint8), d=least[i], r=rows[inside], a=h0[j], b=h1[j], e=w_least[j]))
+            out.append(pack(c=count.astype(np.uint8), d=least[i], r=rows[inside], a=h0[j], b=h1[j], e=w_least[j]))
         return _rows(to, [mine] * len(to), out)
 
     # 2 and 3: bucket -> chunk: verdicts in the order they were sent
     def decide(self, table: pa.Table) -> pa.Table:
-        got = [unpack(x.as_py(), n=U, c=np.uint8, d=np.int64, r=np.uint8, a=U, b=U, e=np.int64) for x in table.column("data")]
-        name, count, doc, raw, h0, h1, w_doc = (np.concatenate(x) for x in zip(*got))
+        got = [unpack(x.as_py(), c=np.uint8, d=np.int64, r=np.uint8, a=U, b=U, e=np.int64) for x in table.column("data")]
+        count, doc, raw, h0, h1, w_doc = (np.concatenate(x) for x in zip(*got))
         count = count.astype(np.int64)
-        rows = np.zeros((len(name), WIDTH), np.uint8)
+        rows = np.zeros((len(count), WIDTH), np.uint8)
         rows[np.arange(WIDTH) < (count + WINDOW - 1)[:, None]] = raw
-        least, bits = judge(name, count, doc, rows)
+        least, bits = judge(count, doc, rows)
         order = np.lexsort((h1, h0))
         new = np.ones(len(order), bool)
         new[1:] = (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])
@@ -400,8 +449,8 @@ class Plan:
         w_least = least_of(cls, w_doc, int(new.sum()))[cls]
         mine, out, x, y = table.column("to")[0].as_py(), [], 0, 0
         for g in got:
-            out.append(pack(l=least[x : x + len(g[0])], m=bits[x : x + len(g[0])], w=w_least[y : y + len(g[4])]))
-            x, y = x + len(g[0]), y + len(g[4])
+            out.append(pack(l=least[x : x + len(g[0])], m=bits[x : x + len(g[0])], w=w_least[y : y + len(g[3])]))
+            x, y = x + len(g[0]), y + len(g[3])
         return _rows(table.column("back").to_pylist(), [mine] * len(got), out)
 
     # 4: chunk: cut
