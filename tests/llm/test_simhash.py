@@ -48,7 +48,7 @@ def test_matches_brute_force(spark):
     df = docs(spark, data).withColumnRenamed("n_chars", "fp")
     got = simhash.near_duplicates(df).collect()
     mask = (1 << 64) - 1
-    assert sorted(((x[0], x[1] & mask, x[2]) for x in got), key=str) == brute(data)
+    assert sorted(((x.doc_id, x.fp & mask, x.component_id) for x in got), key=str) == brute(data)
 
 
 def test_links_of_a_long_chain(spark):

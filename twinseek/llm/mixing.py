@@ -74,7 +74,8 @@ def pivot(parts: list[float], masses: list[float], keys: list[int], level: int)
 
 def rounded(level: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "doc_id", "row_key"], na_position="last", kind="stable").reset_index(drop=True)
+        # Large units first: the small ones that follow complete them, and what stays fractional at the end is small.
+        group = group.assign(_mass=-group["size"] * group["copies_of_row"]).sort_values(["source", "_mass", "row_key", "doc_id"], na_position="last", kind="stable").drop(columns="_mass").reset_index(drop=True)
         done, part = [True] * len(group), group["part"].tolist()
         for _, at in group.groupby("source", dropna=False, sort=False).indices.items():
             sizes = [group["size"][i] * group["copies_of_row"][i] for i in at]

@@ -20,7 +20,8 @@ BUCKETS = 1 << 14
 TRUSTED_ROWS = 5000
 #: Mean log-likelihood ratio below which a document is rejected.
 THRESHOLD = -0.5
-SMOOTHING = 1.0
+#: Pseudo-counts of the target multinomial, spread as the raw corpus is, so that a small target is not biased.
+PRIOR = 100.0
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r"
 
@@ -80,9 +81,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     n_raw, n_good = sum(r.raw for r in counts), sum(r.good for r in counts)
     out = [0.0] * BUCKETS
     if n_good:
-        base = math.log((n_raw + SMOOTHING * BUCKETS) / (n_good + SMOOTHING * BUCKETS))
         for r in counts:
-            out[r.bucket] = math.log((r.good + SMOOTHING) / (r.raw + SMOOTHING)) + base
+            out[r.bucket] = math.log((r.good * n_raw / r.raw + PRIOR) / (n_good + PRIOR))
     return out
 
 

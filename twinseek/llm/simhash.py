@@ -90,9 +90,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs(doc_id, text).
+    """(doc_id, fp, root, component_id) for every row of docs(doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of two or fewer differing bits.
+    root is the least fingerprint of the component. component_id is the smallest doc_id reachable over links of two or fewer differing bits.
     Null and word-free texts have fingerprint 0 and link like any other. Rows that repeat a doc_id keep a
     row each. A null doc_id is never a component_id unless nothing else is reachable. An empty table gives none.
     """
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(ball_links(nodes), scratch)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex16(fp):
