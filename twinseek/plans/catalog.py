@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import table_queries, text_queries
+from .base import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["tokenize"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+__all__ = ["flagship", "oracle_sql", "queries", "text_queries"]
