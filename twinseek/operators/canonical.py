@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalise, service_slug, title_case, word_set
+from ..session import durable
+from .vector import BLOCK_VALUES, unit
 
 ONTOLOGY_LEAST, CLUSTER_LEAST = 0.7, 0.92
 
@@ -29,32 +31,59 @@ def by_ontology(skills: DataFrame, labels: DataFrame, least: float = ONTOLOGY_LE
     return skills.join(hit.withColumnRenamed("title", "canonical_name"), "raw_name").withColumns({"canonical_id": service_slug(F.col("canonical_name")), "source": F.lit("ontology")})
 
 
+def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(id, ord, earlier, earlier_ord, similarity) for rows(id, vec, ord) at least `least` alike, the earlier one
+    by ord named second. Vectors go through in blocks of bounded size, each against all rows."""
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.select("id", "vec", "ord").first()
+    step = max(1, BLOCK_VALUES // max(1, len(some.vec))) if some else 1
+    parts, seen = [], None
+    while True:
+        ahead = rows if seen is None else rows.where((F.col("ord") > seen[0]) | ((F.col("ord") == seen[0]) & (F.col("id") > seen[1])))
+        block = ahead.select("id", "vec", "ord").orderBy("ord", "id").limit(step).collect()
+        if not block:
+            break
+        shared = rows.sparkSession.sparkContext.broadcast(([r.id for r in block], np.array([r.ord for r in block]), unit([r.vec for r in block])))
+
+        def run(batches, shared=shared):
+            names, order, q = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column("ord").to_numpy(zero_copy_only=False)
+                s = unit(b.column("vec").to_pylist()) @ q.T
+                i, j = np.nonzero((s >= least) & (order[None, :] < own[:, None]))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(i)), pa.array(own[i]), pa.array([names[k] for k in j], b.column("id").type), pa.array(order[j]), pa.array(s[i, j])], ["id", "ord", "earlier", "earlier_ord", "similarity"])
+
+        parts.append(rows.select("id", "vec", "ord").mapInArrow(run, f"id {kind}, ord long, earlier {kind}, earlier_ord long, similarity double"))
+        seen = (block[-1].ord, block[-1].id)
+        if len(block) < step:
+            break
+    out = parts[0] if parts else rows.sparkSession.createDataFrame([], f"id {kind}, ord long, earlier {kind}, earlier_ord long, similarity double")
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
 def cluster(rows: DataFrame, least: float = CLUSTER_LEAST) -> DataFrame:
     """(id, centroid, similarity) of rows(id, vec, ord): leaders in the order of `ord` — a row joins the most
-    similar earlier leader if it is at least `least` similar, else it becomes one.
+    similar earlier leader if it is at least `least` similar, else it becomes one. ord is a unique long.
 
-    Exactly the sequential result: leaders are settled block by block of rows on the driver's order, each block
-    compared with the leaders so far. It is meant for the vocabulary of skills that no earlier layer matched.
+    The sequential result in parallel rounds: a row is a leader if none of its earlier neighbours is one, and
+    each round settles the rows whose earlier neighbours are settled. Only similar pairs are kept.
     """
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("ord", kind="stable")
-        m = np.array(batch["vec"].tolist(), np.float64)
-        m /= np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-12
-        leaders, names, out = np.empty_like(m), [], []
-        for name, v in zip(batch["id"], m):
-            s = leaders[: len(names)] @ v
-            k = int(np.argmax(s)) if len(s) else -1
-            if k >= 0 and s[k] >= least:
-                out.append((name, names[k], float(s[k])))
-            else:
-                leaders[len(names)] = v
-                names.append(name)
-                out.append((name, name, 1.0))
-        return pd.DataFrame(out, columns=["id", "centroid", "similarity"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy(F.lit(0)).applyInPandas(run, f"id {kind}, centroid {kind}, similarity double")
+    pairs = durable(similar_pairs(rows, least))
+    state = durable(rows.select("id", F.lit(None).cast("boolean").alias("leader")))
+    while True:
+        near = pairs.join(state.withColumnRenamed("id", "earlier").withColumnRenamed("leader", "_l"), "earlier")
+        told = near.groupBy("id").agg(F.max(F.coalesce("_l", F.lit(False))).alias("any"), F.count(F.when(F.col("_l").isNull(), 1)).alias("open"))
+        now = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("any"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = durable(state.join(told, "id", "left").select("id", now.alias("leader")))
+        if not state.where("leader is null").limit(1).count():
+            break
+    led = pairs.join(state.where("leader").select(F.col("id").alias("earlier")), "earlier", "left_semi")
+    best = led.groupBy("id").agg(F.max_by(F.struct("earlier", "similarity"), F.struct(F.round("similarity", 9), -F.col("earlier_ord"))).alias("b"))
+    return state.join(best, "id", "left").select("id", F.when(F.col("leader"), F.col("id")).otherwise(F.col("b.earlier")).alias("centroid"), F.when(F.col("leader"), 1.0).otherwise(F.col("b.similarity")).alias("similarity"))
 
 
 def layers(*found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / ((norm(a) + 1e-12) * (norm(b) + 1e-12))
 
 
-def _unit(rows: list) -> np.ndarray:
+def unit(rows: list) -> np.ndarray:
     m = np.array(rows, np.float64).reshape(len(rows), -1)
     return m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-12)
 
@@ -48,7 +48,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     step = max(1, BLOCK_VALUES // max(1, len(asked[0].vec))) if asked else 1
     for at in range(0, len(asked), step):
         block = asked[at : at + step]
-        shared = spark.sparkContext.broadcast(([r.qid for r in block], _unit([r.vec for r in block])))
+        shared = spark.sparkContext.broadcast(([r.qid for r in block], unit([r.vec for r in block])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
@@ -56,7 +56,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
                 vec = b.column("vec")
                 if not len(vec):
                     continue
-                s = _unit(vec.to_pylist()) @ q.T
+                s = unit(vec.to_pylist()) @ q.T
                 ids = b.column("doc_id")
                 by_id = np.argsort(np.array(ids.to_pylist(), object), kind="stable")
                 best = by_id[np.argsort(-np.round(s[by_id], 9), axis=0, kind="stable")[:k]]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import table_queries, text_queries
+from . import eval_queries, search_queries, table_queries, text_queries
 from .base import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["tokenize"](spark, sf_dir)
+    return QUERIES["rrf3"](spark, sf_dir)
 
 
 def queries():
@@ -18,4 +18,4 @@ def oracle_sql():
     return dict(ORACLES)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "text_queries"]
+__all__ = ["flagship", "oracle_sql", "queries", "eval_queries", "search_queries", "table_queries", "text_queries"]

@@ -18,3 +18,16 @@ def session(app: str = "twinseek", **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def durable(df):
+    """df written to the folder that driver and executors share (spark.checkpoint.dir) and read again: cuts the
+    plan of an iteration and survives lost executors. A folder of this machine only where none is named."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/twinseek-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
