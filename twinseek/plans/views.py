@@ -84,7 +84,7 @@ def judgements(spark, d) -> DataFrame:
     """(qid, doc_id, rel): documents that hold the first 60 characters of an item are worth 2; other labelled
     documents of good quality are worth 1 to the query their number names."""
     b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    gold = table(spark, d, "documents").join(F.broadcast(b), F.contains(F.col("text"), F.col("head"))).select(F.concat(F.lit("q_"), "item_id").alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(2).alias("rel"))
+    gold = table(spark, d, "documents").join(b, F.contains(F.col("text"), F.col("head"))).select(F.concat(F.lit("q_"), "item_id").alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(2).alias("rel"))
     soft = table(spark, d, "labels").where("quality = 1 and toxic = 0").select(F.concat(F.lit("q_"), F.col("doc_id") % 40).alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(1).alias("rel"))
     return gold.union(soft).groupBy("qid", "doc_id").agg(F.max("rel").alias("rel"))
 
