@@ -280,3 +280,35 @@ def graph_4way(spark, d):
 def detail_order(spark, d):
     w = Window.partitionBy("person_id").orderBy(F.col("proficiency").desc(), "skill_name", "category")
     return V.has_skill(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 3").groupBy("person_id", "rank").agg(F.sum("proficiency").alias("total"))
+
+
+_COLUMNS = {"id": "c_custkey", "full_name": "c_name", "yoe": "c_acctbal", "city": "n_name", "skills": "concat(c_mktsegment, ',', n_name, ',x')"}
+_MEASURES = " union all ".join(
+    f"select '{c}' as col, (select count(distinct {x}) / count(*) from people)::double as u, (select count({x}) / count(*) from people)::double as f, "
+    f"(select avg(case when json_valid({x}::varchar) and regexp_matches(trim({x}::varchar), '^[\\[{{]') then 1.0 else 0.0 end) from head where i <= 25) as json, "
+    f"(select avg(case when len(regexp_split_to_array({x}::varchar, '[,;|]')) >= 3 then 1.0 else 0.0 end) from head where i <= 25) as delim, "
+    f"(select avg(case when try_cast({x}::varchar as double) is not null then 1.0 else 0.0 end) from head where i <= 25) as num, (select avg(len(regexp_extract_all({x}::varchar, '\\S+'))) from head) as tok"
+    for c, x in _COLUMNS.items()
+)
+_FIELDS = ", ".join(f"('{f}', '{k}', '{'|'.join(ps)}')" for f, k, ps in introspect.FIELDS)
+
+
+@query(
+    f"with people as (select * from customer join nation on c_nationkey = n_nationkey), head as (select *, row_number() over (order by c_custkey) as i from people qualify i <= 50), m as ({_MEASURES}), fields as (select * from (values {_FIELDS}) t(field, kind, part)) "
+    "select col as \"column\", field, round(0.6 * case when regexp_matches(col, part) then 1.0 else 0.0 end + 0.4 * case kind when 'primary_key' then 0.7 * u + 0.3 * f when 'numeric' then num when 'json_or_text' then greatest(json, 0.5 * delim, 0.5 * least(tok / 30, 1)) "
+    "when 'list_or_csv' then greatest(0.8 * json, delim) when 'long_text' then least(tok / 50, 1) when 'short_text' then greatest(0, least(1 - abs(tok - 4) / 20, 1)) else case when tok between 1.5 and 5 then 1.0 else 0.4 end end, 6)::double as score from m, fields"
+)
+def column_field_scores(spark, d):
+    people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    renamed = people.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_acctbal").alias("yoe"), F.col("n_name").alias("city"), F.concat("c_mktsegment", F.lit(","), "n_name", F.lit(",x")).alias("skills"))
+    return introspect.scores(renamed, "id")
+
+
+@query(
+    "select concat('doc_', d.doc_id) as doc_id, case when l.quality is null then 'person' else 'job' end as kind, case when length(s) > 220 then concat(rtrim(substr(s, 1, 219)), '…') else s end as snippet, coalesce(l.toxic, 0) as experience_lower "
+    "from (select doc_id, lang, regexp_replace(regexp_replace(coalesce(nullif(case when doc_id % 2 = 0 then '' else lang end, ''), text), '\\s+', ' ', 'g'), '^ | $', '', 'g') as s from documents) d left join labels l using (doc_id)"
+)
+def entity_meta(spark, d):
+    meta = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    text = F.coalesce(F.nullif(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.lit("")), F.col("text"))
+    return meta.select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.when(F.col("quality").isNull(), "person").otherwise("job").alias("kind"), T.snippet(text).alias("snippet"), F.coalesce("toxic", F.lit(0)).alias("experience_lower"))
