@@ -69,3 +69,20 @@ def test_partitions_keep_similar_sets_together(spark):
     df = spark.range(1, 400).select(spotsigs.length_partition(F.col("id"), 0.8).alias("p"), "id")
     p = {r.id: r.p for r in df.collect()}
     assert all(abs(p[a] - p[b]) <= 1 for a in p for b in range(a, min(400, int(a / 0.8) + 1)))
+
+
+def test_similarity_join_matches_brute_force(spark):
+    r = random.Random(9)
+    base = [" ".join(f"the w{r.randrange(400)} x{r.randrange(400)}" for _ in range(40)) for _ in range(12)]
+    texts = base + [b.replace("the w1", "the v1", k % 3 + 1) for k, b in enumerate(base * 3)] + base[:4] + ["", None, "the only one"]
+    data = rows(texts) + [(None, base[0], None, None, None)]
+    members, pairs = spotsigs.similar(docs(spark, data), 0.8)
+    sets = {d: frozenset(slow_spots(t or "")) for d, t, *_ in data if d is not None}
+    least = {}
+    for d, s in sorted(sets.items()):
+        least.setdefault(s, d)
+    assert {x.doc_id: x.class_id for x in members.collect()} == {d: least[s] for d, s in sets.items()}
+    classes = [(d, s) for s, d in least.items() if s]
+    want = {(min(a, b), max(a, b)) for a, s in classes for b, t in classes if a != b and jaccard(s, t) >= 0.8}
+    got = pairs.collect()
+    assert want and {(x.a, x.b) for x in got} == want and all(abs(x.likeness - jaccard(sets[x.a], sets[x.b])) < 1e-9 for x in got)

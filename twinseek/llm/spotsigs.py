@@ -110,3 +110,31 @@ def compare(docs: DataFrame) -> DataFrame:
     out = out.withColumns({"sigs": signatures(F.col("text")), "edited_sigs": signatures(F.col("edited")), "next_sigs": signatures(F.col("next_text"))})
     near = lambda other: pruned_jaccard(F.col("sigs"), F.col(other))
     return out.withColumns({"near_edited": near("edited_sigs"), "near_next": near("next_sigs")}).drop("next_text")
+
+
+def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members(doc_id, class_id) puts documents of one signature set into a class named by its
+    least doc_id; pairs(a, b, likeness) holds every two classes, a < b, at least `threshold` alike.
+
+    Sets meet only within a partition of set lengths or with the next one, and only over a signature among the
+    first |A| - ceil(threshold |A|) + 1 of either, rarest first, which two similar sets cannot both lack; the
+    lengths prune a pair before its Jaccard is computed. Empty sets are one class and pair with none. Rows
+    without a doc_id are left out.
+    """
+    rows = docs.where("doc_id is not null").select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs"))
+    key = F.xxhash64("sigs")
+    names = rows.groupBy(key.alias("_k"), "sigs").agg(F.min("doc_id").alias("class_id"))
+    members = rows.withColumn("_k", key).join(names, ["_k", "sigs"]).select("doc_id", "class_id")
+    sets = names.where(F.size("sigs") > 0).select("class_id", "sigs", F.size("sigs").alias("n"))
+    each = sets.select("class_id", "n", F.explode("sigs").alias("sig"))
+    rare = each.groupBy("sig").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig"))
+    head = each.join(rare.where("df > 1"), "sig", "left").withColumn("nth", place).where(F.col("df").isNotNull())
+    head = head.where(F.col("nth") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).withColumn("part", length_partition(F.col("n"), threshold)).select("class_id", "n", "sig", "part")
+    left = head.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    right = head.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", "part")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    found = left.join(right, ["sig", "part"]).where(ordered & (F.col("na") >= threshold * F.col("nb"))).select("a", "b").distinct()
+    own = lambda c: sets.select(F.col("class_id").alias(c), F.col("sigs").alias(f"s{c}"))
+    scored = found.join(own("a"), "a").join(own("b"), "b").withColumn("likeness", pruned_jaccard(F.col("sa"), F.col("sb"), threshold)).where(F.col("likeness") >= threshold)
+    return members, scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
