@@ -27,6 +27,16 @@ def test_bm25_by_hand(spark, fruit):
     assert abs(twice.score - 2 * 0.980829 * 0.523364) < 2e-6
 
 
+def test_index_of_few_or_many_terms(spark, fruit, monkeypatch):
+    docs = frame(spark, [("d1", "red apple red"), ("d2", "green apple"), ("d3", "blue sky")], "doc_id string, text string")
+    q = frame(spark, [("q", "red apple")], "qid string, text string")
+    rows = lambda i: sorted(map(tuple, lexical.search(i, q).collect()))
+    want = rows(fruit)
+    assert rows(lexical.build(docs, q)) == want
+    monkeypatch.setattr(lexical, "MOST_TERMS", 1)
+    assert rows(lexical.build(docs, q)) == want
+
+
 def test_index_survives_saving(spark, fruit, tmp_path):
     fruit.save(str(tmp_path))
     q = frame(spark, [("q", "apple sky")], "qid string, text string")

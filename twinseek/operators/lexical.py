@@ -35,12 +35,23 @@ def load(spark, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "docs", "terms")), n, avgdl)
 
 
-def build(corpus: DataFrame) -> Index:
-    """Index of corpus(doc_id, text). Documents without tokens count in the number and mean length."""
+#: Query terms up to which postings are filtered by a broadcast of them before they are shuffled.
+MOST_TERMS = 100_000
+
+
+def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
+    """Index of corpus(doc_id, text). Documents without tokens count in the number and mean length. With
+    only(qid, text), an index for those queries: postings of other terms are left out before the shuffle if
+    the terms are few, and as late as the search itself if they are many."""
     cut = corpus.select("doc_id", tokens(F.col("text")).alias("tokens"))
     docs = cut.select("doc_id", F.size("tokens").cast("long").alias("dl"))
     n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
-    postings = cut.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    each = cut.select("doc_id", F.explode("tokens").alias("term"))
+    if only is not None:
+        wanted = query_terms(only).select("term").distinct()
+        if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+            each = each.join(F.broadcast(wanted), "term", "left_semi")
+    postings = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     return Index(postings, docs, terms, n, avgdl or 0.0)
 

@@ -36,11 +36,11 @@ def means(scored: DataFrame, places: int = 6) -> list[Column]:
 def cuts(scored: DataFrame, queries: DataFrame) -> DataFrame:
     """(cut, value, n, metrics) overall, per task and per stratum in one pass; a null stratum is 'original'."""
     joined = scored.join(queries.select("qid", "task", F.coalesce("stratum", F.lit("original")).alias("stratum")), "qid")
-    joined.createOrReplaceTempView("_twinseek_scored")
     cols = ", ".join(f"round(avg({m}), 6) as {m}" for m in PANEL)
     return joined.sparkSession.sql(
         f"select case when grouping(task) = 0 then 'task' when grouping(stratum) = 0 then 'stratum' else 'overall' end as cut, coalesce(task, stratum, 'all') as value, count(*) as n, {cols} "
-        "from _twinseek_scored group by grouping sets ((), (task), (stratum))"
+        "from {scored} group by grouping sets ((), (task), (stratum))",
+        scored=joined,
     )
 
 

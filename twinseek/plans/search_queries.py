@@ -18,8 +18,9 @@ def bm25_stats(spark, d):
     return index.terms.where("df >= 5").select("term", "df", F.round(idf, 6).alias("idf"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.lit(index.n).cast("long").alias("n"))
 
 
-def bm25(spark, d, queries=None):
-    return lexical.search(lexical.build(V.texts(spark, d)), queries or V.text_queries(spark, d))
+def bm25(spark, d):
+    queries = V.text_queries(spark, d)
+    return lexical.search(lexical.build(V.texts(spark, d), queries), queries)
 
 
 def dense(spark, d):
