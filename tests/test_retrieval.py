@@ -167,3 +167,7 @@ def test_engine(spark):
     assert [e["type"] for e in engine.search_events("x")][-1] == "error" and engine.health()["candidates"] == 4
     with pytest.raises(ValueError):
         engine.search("python", mode="none")
+    asked = frame(spark, [("q1", "python", None, ["Python"]), ("q2", "spring", "paraphrase", [])], "qid string, text string, stratum string, query_skills array<string>")
+    rels = frame(spark, [("q1", "person_0", 2), ("q2", "person_1", 1)], "qid string, doc_id string, rel int")
+    summary = engine.eval_summary(asked, rels, "candidates", ("bm25", "rrf3")).collect()
+    assert len(summary) == 6 and all(r.recall_100 == 1.0 for r in summary) and sum(r.is_best for r in summary) == 3

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, graph, lexical, vector
+from ..operators import fusion, graph, lexical, metrics, vector
 
 BUDGET, HEAD, MOST = 100, 25, 100
 MODES = ("bm25", "dense", "rrf", "rrf3", "rrf3_rerank")
@@ -101,6 +101,20 @@ class Engine:
         yield {"type": "results", "results": found}
         yield {"type": "done"}
 
+    def eval_summary(self, queries: DataFrame, qrels: DataFrame, side: str, modes: tuple[str, ...] = MODES) -> DataFrame:
+        """(config, stratum, n, metrics, is_best) of each mode over queries(qid, text, task, stratum?, query_skills?)
+        judged by qrels(qid, doc_id, rel), overall and per stratum."""
+        key = lambda df, mode: df.withColumn("qid", F.concat(F.lit(f"{mode}/"), "qid"))
+        run = rels = None
+        for mode in modes:
+            found = key(self.search_many(queries, side, mode, MOST).select("qid", F.col("entity.doc_id").alias("doc_id"), "rank"), mode)
+            run, rels = (found, key(qrels, mode)) if run is None else (run.union(found), rels.union(key(qrels, mode)))
+        panel = metrics.per_query(run, rels).select(F.substring_index("qid", "/", 1).alias("config"), F.substring_index("qid", "/", -1).alias("qid"), *metrics.PANEL)
+        stratum = F.coalesce("stratum", F.lit("original")) if "stratum" in queries.columns else F.lit("original")
+        strata = queries.select("qid", F.explode(F.array(F.lit("overall"), stratum)).alias("stratum"))
+        rows = panel.join(strata, "qid").groupBy("config", "stratum").agg(F.count("*").alias("n"), *metrics.means(None))
+        return metrics.best_per(rows, "stratum", "ndcg_10", "config")
+
     def profile(self, id_: str) -> dict | None:
         return self._detail(self.profiles, self.profile_skills, "person_id", id_, [F.col("proficiency").desc(), "skill_name"])
 
