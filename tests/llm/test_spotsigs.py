@@ -16,7 +16,7 @@ def slow_spots(text):
         if w in STOP and i + 1 < len(words) and words[i + 1] not in STOP:
             rest = [x for x in words[i + 2 :] if x not in STOP]
             out.add((w, words[i + 1], rest[0] if rest else ""))
-    return out or ({text} if text else set())
+    return out or set(words) or ({text} if text else set())
 
 
 def jaccard(a, b):

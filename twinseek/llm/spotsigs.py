@@ -29,14 +29,16 @@ BLOCK_ROWS = 256
 
 
 def signatures(text: Column) -> Column:
-    """Distinct signatures of a whole text as a sorted array of longs; a text without spots has one signature
-    of its own, an empty one none."""
+    """Distinct signatures of a whole text as a sorted array of longs. A text without spots has its words for
+    signatures, one without words itself, and an empty one none."""
     any_of = "|".join(sorted(set(ANCHORS.split())))
     spot = rf"(?<![^ ])((?:{any_of}) )++([^ ]++ )(?=(?:(?:{any_of}) )*+([^ ]++)?)"
     flat = F.concat(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     marked = F.split(F.regexp_replace(flat, spot, "\n$1\t$2$3\n"), "\n")
-    spots = F.transform(F.filter(marked, lambda x: x.contains("\t")), lambda x: F.shiftrightunsigned(F.xxhash64(x), 32))
-    alone = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(text), 32)))
+    mark = lambda x: F.shiftrightunsigned(F.xxhash64(x), 32)
+    spots = F.transform(F.filter(marked, lambda x: x.contains("\t")), mark)
+    words = F.sort_array(F.array_distinct(F.transform(F.split(F.trim(flat), " "), mark)))
+    alone = F.when(text == "", F.array().cast("array<bigint>")).when(F.trim(flat) == "", F.array(mark(text))).otherwise(words)
     return let(F.sort_array(F.array_distinct(spots)), lambda s: F.when(F.size(s) > 0, s).otherwise(alone))
 
 
