@@ -85,3 +85,12 @@ def test_whole_run_and_empty_table(spark, tmp_path):
     assert cp.run(spark, d).count() > 0
     assert cp.run(spark, folder(spark, [], tmp_path / "b")).count() == 0
     assert 4 <= len(cp.STAGES) <= 5 and cp.ORACLE_SQL is None
+
+
+def test_edited_copies_are_near_duplicates(spark):
+    words = [f"w{i * 7919 % 1000}" for i in range(300)]
+    copies = [words, [*words[:100], "x", *words[101:]], [w if i % 50 != 20 else f"y{i}" for i, w in enumerate(words)]]
+    other = [w if i % 10 else "o" for i, w in enumerate(words)]  # of half the shingles
+    data = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([*copies, other])]
+    assert bin(slow_fingerprint(data[0][1]) ^ slow_fingerprint(data[2][1])).count("1") > 2
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs(spark, data), "").collect()) == [0, 3]

@@ -61,3 +61,42 @@ def test_links_of_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
+
+
+def slow_similar(data):
+    sets = []
+    for _, t, *_ in data:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    comp, changed = list(range(len(data))), True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if comp[j] > comp[i] and like(a, b):
+                    comp[j], changed = comp[i], True
+    return sorted((d[0], min(e[0] for e, k in zip(data, comp) if k == c)) for d, c in zip(data, comp))
+
+
+def edited(seed=5):
+    """Texts, near copies of them with one to twelve words changed, and one group of many near copies."""
+    r = random.Random(seed)
+    texts = [None, "", " \t", "one two", "One  two", "one two three"]
+    for k in range(40):
+        base = [r.choice("abcdefgh") + str(r.randrange(300)) for _ in range(r.choice([60, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(40 if k == 0 else r.randrange(3)):
+            copy = list(base)
+            for _ in range(r.randrange(1, 13)):
+                copy[r.randrange(len(copy))] = "changed" + str(r.randrange(99))
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    return rows(texts + texts[:5])
+
+
+def test_similar_documents_match_brute_force(spark):
+    data = edited()
+    got = simhash.similar_documents(docs(spark, data), 5, 0.8).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == slow_similar(data)
+    assert simhash.similar_documents(docs(spark, []), 5, 0.8).collect() == []

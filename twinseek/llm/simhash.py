@@ -4,6 +4,9 @@ Every distinct fingerprint emits all variants within half the radius (itself and
 neighbours for radius 2). Two fingerprints within the radius share a variant, and two that share one are
 within the radius, so after a shuffle on the variants each group is linked as a chain, never as all pairs.
 A group holds at most 65 distinct fingerprints, because copies were folded before.
+
+similar_documents is for edited copies, whose fingerprints lie further apart than any ball in reach: MinHash
+bands propose pairs and the Jaccard similarity of the whole texts' shingles decides.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from .common import Scratch
 
 HALF_RADIUS = 1
 SHINGLE_WORDS = 3
+#: MinHash bands and the minima of a band: a pair of Jaccard similarity 0.8 shares no band three times in a million.
+BANDS, BAND_ROWS = 32, 5
+#: Predecessors in a band's bucket that a document is compared with, beyond those it is linked to already.
+NEIGHBOURS = 8
 
 
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -89,6 +96,97 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         seen = now
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of the shingles of UTF-8 text, ascending; words as in fingerprint()."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles]), ">u8").astype(np.uint64))
+
+
+def _signed(data: bytes, seed: int = 0) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(data, seed), "big", signed=True)
+
+
+def shingle_key(text: bytes, width: int) -> int:
+    """A number that texts share if they have the same set of shingles."""
+    return _signed(shingle_set(text, width).tobytes())
+
+
+_random = np.random.default_rng(42)
+_FACTORS, _TERMS = (_random.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """One hash for each band of the MinHash of a set; none for the empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[at : at + 512, None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    return [_signed(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar_documents(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of docs(doc_id, text), as near_duplicates, but linked where the
+    sets of width-word shingles have at least that Jaccard similarity. fp is shingle_key.
+
+    Pairs come from MinHash bands, each document with its predecessors in a bucket, and are verified on whole texts.
+    Null and word-free texts have one fp and are like each other only.
+    """
+    scratch = Scratch(docs.sparkSession)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py() or b"", width) for t in b.column("text").cast(pa.binary())]
+            keys, found = [_signed(s.tobytes()) for s in sets], [bands(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "fp", "bands"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [[shingle_set(t.as_py() or b"", width) for t in b.column(c).cast(pa.binary())] for c in ("text_u", "text_v")]
+            yield b.select(["u", "v"]).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(*sets)], pa.bool_()))
+
+    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text string, fp long, bands array<long>"))
+    nodes = signed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    bucket = Window.partitionBy("band").orderBy("fp")
+    before = F.array(*(F.lag("fp", k).over(bucket) for k in range(1, NEIGHBOURS + 1)))
+    posts = signed.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band"))
+    placed = posts.select(F.col("fp").alias("v"), before.alias("before")).where("before[0] is not null")
+    near = scratch.keep(placed.select("v", F.posexplode("before").alias("nth", "u")).where("u is not null").groupBy("u", "v").agg(F.min("nth").alias("nth")))
+
+    needed = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    texts = scratch.keep(signed.select("fp", "text").join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        end = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))
+        return scratch.keep(pairs.select("u", "v").join(end("u"), "u").join(end("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
+
+    # Direct predecessors first. They join most of a large group, so that few of the other pairs need their texts.
+    links = verified(near.where("nth = 0"))
+    roots = components(links, scratch)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = near.where("nth > 0").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    more = verified(apart)
+    if not more.isEmpty():
+        roots = components(links.union(more), scratch)
+    return _placed(signed.select("doc_id", "fp"), nodes, roots)
+
+
+def _placed(fps: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """fps(doc_id, fp) with the root and the least doc_id of each row's component."""
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, root, component_id) for every row of docs(doc_id, text).
 
@@ -100,9 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = scratch.keep(fingerprints(docs))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(ball_links(nodes), scratch)
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+    return _placed(fps, nodes, roots)
 
 
 def hex16(fp):
