@@ -2,12 +2,13 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers
 import pytest
 from tests.llm.helpers import docs, rows
 from tokenizers import Tokenizer
-from twinseek.llm import packing
+from twinseek.llm import packing, registry
 
 
 def check_pieces(pieces, want, capacity):
@@ -47,6 +48,15 @@ def test_round_trip(spark):
     assert check_pieces(got, want, 2048) == 0
 
 
+def test_added_tokens_as_the_tokenizer_has_them(spark, tmp_path):
+    texts = [None, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n é", "<|endoftext| >", "no token"]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x, *_ in rows(texts)}
+    docs(spark, rows(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (registry.op8_min_bin_slack(spark, str(tmp_path)), cp.packed(spark, docs(spark, rows(texts)), "")):
+        assert check_pieces([p.asDict() for p in got.collect()], want, 2048) == 0
+
+
 def test_empty_table(spark):
     assert packing.pack(docs(spark, [])).collect() == []
 

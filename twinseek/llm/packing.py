@@ -10,6 +10,7 @@ padding. Batches are bounded by tokens and packed where they are read, so nothin
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,20 +27,28 @@ OFFERED = 48
 BATCH_TOKENS = 2_000_000
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, bool], object] = {}
 
 
-def encoder(name: str):
+def encoder(name: str, added: bool = False):
     """Encoder of a public vocabulary by file name. The ranks file holds the vocabulary of the .json of the
-    same stem and gives the same ids about six times as fast; special tokens in a text are plain text."""
-    if name not in _encoders:
+    same stem and gives the same ids about six times as fast. With added, the .json's added tokens have their
+    ids where they occur in a text, as its tokenizer has them by default; else they are plain text."""
+    if (name, added) not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _encoders[name]
+        special = {}
+        if added:
+            with open(public_tokenizers.path(name), encoding="utf-8") as file:
+                special = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", ())}
+            ranks = {token: i for token, i in ranks.items() if i not in special.values()}
+        made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        held = lambda text: any(t in text for t in special)
+        _encoders[name, added] = lambda text: made.encode(text, allowed_special="all") if held(text) else made.encode_ordinary(text)
+    return _encoders[name, added]
 
 
 def best_fill(lengths: list[int], counts: list[int], room: int) -> list[int]:
@@ -123,16 +132,17 @@ def powers_of_two(window: list[tuple[int, int, int]], used: int) -> list[list[tu
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, batch_tokens: int = BATCH_TOKENS, added: bool = False) -> DataFrame:
     """One row per piece of docs(doc_id, text): where it starts in its document, how long it is, the CRC-32 of
     its ids, and its place in a sequence.
 
     Every row is packed, also rows that repeat a doc_id (each is a document of its own) and a null doc_id. A
     null or empty text is the end id alone. Any length is cut freely. An empty table gives no pieces.
+    added: the vocabulary's added tokens have their own ids, see encoder().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, n = encoder(vocabulary), TaskContext.get().partitionId() << 40, 0
+        encode, base, n = encoder(vocabulary, added), TaskContext.get().partitionId() << 40, 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         held = 0
