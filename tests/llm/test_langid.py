@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import docs, rows
 from twinseek.llm import langid, registry
 
@@ -18,18 +20,44 @@ def slow_phrases(train, text):
 def test_phrases_match_brute_force():
     r = random.Random(2)
     samples = {x: ["".join(r.choice(a) for _ in range(150)) for _ in range(4)] for x, a in (("aa", "abcab "), ("bb", "bcdde "), ("cc", "xyzé "))}
+    long = "".join(r.choice("abcde ") for _ in range(5 * langid.PIECE))
+    samples["dd"] = [long]
     model = langid.train(samples)
-    each = langid.MODEL_CHARS // 3 // 4
-    joined = {x: [int(s) for t in ts for s in (*langid.symbols_of(model.symbol, t[:each]), langid.SPACE)] for x, ts in samples.items()}
-    as_text = lambda s: "".join(chr(65 + int(c)) for c in s)
-    for n in (1, 7, 100, langid.PIECE, langid.PIECE + 1, 900):
-        s = langid.symbols_of(model.symbol, "".join(r.choice("abcdexyzéQ 1") for _ in range(n)))
-        if not len(s):
-            continue
-        got = langid.phrases(model, [s])[0]
-        for k, x in enumerate(model.languages):
-            pieces = [s[i : i + langid.PIECE] for i in range(0, len(s), langid.PIECE)]
-            assert got[k] == sum(slow_phrases(as_text(joined[x]), as_text(p)) for p in pieces)
+    joined = {x: [int(s) for t in ts for s in (*langid.symbols_of(model.symbol, t), langid.SPACE)] for x, ts in samples.items()}
+    as_text = lambda s: "".join(map(chr, s))
+    texts = ["".join(r.choice("abcdexyzéQ 1") for _ in range(n)) for n in (1, 7, 100, langid.PIECE, langid.PIECE + 1, 3 * langid.PIECE + 5)]
+    # The end of a training text as a text is one phrase over many pieces.
+    symbols = [s for s in (langid.symbols_of(model.symbol, t) for t in [*texts, long[11:]]) if len(s)]
+    got = langid.phrases(model, symbols)
+    for s, row in zip(symbols, got):
+        assert row.tolist() == [slow_phrases(as_text(joined[x]), as_text(s)) for x in model.languages]
+    assert got[-1][model.languages.index("dd")] == 1
+
+
+SCRIPTS = {"en": "abcdefghijklmnopqrst", "el": "αβγδεζηθικλμνξοπρστυ", "ru": "абвгдежзийклмнопрсту", "he": "אבגדהוזחטיכלמנסעפצקרש", "ar": "ابتثجحخدذرزسشصضطظعغفق", "hi": "अआइईउऊएऐओऔकखगघचछजझटठ", "th": "กขคงจฉชซญดตถทธนบปผพฟ", "ka": "აბგდევზთიკლმნოპჟრსტუ", "hy": "աբգդեզէըթժիլխծկհձղճմ", "ko": "가나다라마바사아자차카타파하거너더러머버", "zh": "的一是不了人我在有他这中大来上个国到说们"}
+
+
+def test_many_scripts_and_languages(spark):
+    """Every language has the same share of the model however many there are, and no script lacks letters."""
+    r = random.Random(4)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randrange(2, 7)))
+    vocabulary = {f"{x}{k}": [word(a) for _ in range(60)] for x, a in SCRIPTS.items() for k in range(2)}  # two languages a script
+    data = [(i, " ".join(r.choice(vocabulary[lang]) for _ in range(25)), lang, None, None) for i, lang in enumerate(sorted(vocabulary) * 24)]
+    every = docs(spark, data)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(every.where("doc_id % 3 = 0"), every.where("doc_id % 3 <> 0")).collect()}
+    assert sum(got[i] == data[i][2] for i in got) >= 0.95 * len(got) and len(got) > 150
+
+
+def test_ties_repeats_and_clashing_columns(spark):
+    learned = docs(spark, [(1, "abc abc abc", "xx", None, None), (2, "abc abc abc", "ww", None, None)])
+    asked = docs(spark, [(7, "abc", None, None, None), (7, "abc", None, None, None)]).withColumns({"lang_pred": F.lit("?"), "score": F.lit(9), "rank": F.lit(1), "mark": F.lit("m")})
+    got = langid.identify(asked, learned.withColumns({"mark": F.lit("m"), "rank": F.lit(0), "n": F.lit(1)}))
+    assert got.columns == ["doc_id", "lang_pred", "score"] and [(x.doc_id, x.lang_pred, x.score) for x in got.collect()] == [(7, "ww", 0.5)] * 2
+
+
+def test_sample_is_bounded(spark):
+    few = langid.sample(docs(spark, [(i, "many words here " * 50, "en", None, None) for i in range(3000)] + [(None, "rare", "qq", None, None)]))
+    assert len(few["en"]) == langid.SAMPLE_ROWS and {len(t) for t in few["en"]} == {langid.SAMPLE_CHARS} and few["qq"] == ["rare"]
 
 
 def made(n=240, seed=1):
