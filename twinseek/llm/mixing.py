@@ -5,11 +5,16 @@ are rounded in pairs: mass (words) moves from one document to the other in a ran
 that the expected copies stay, until one of the two is integral; the other goes on to the next pair. Words
 are conserved at every step. Groups of documents leave one residual per source, residuals meet again in
 groups of groups, and so on up a reduction tree, until one per source is left and is rounded to the nearest.
-The random numbers are hashes of the rows, so reruns agree.
+The random numbers are hashes of the rows, so reruns agree. Each group also passes on a few undecided documents of
+every size as change: at the root the last fraction is rounded and the words it misses are made up by rounding
+change the other way, so that a long document left to the end does not leave its source off target.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +25,10 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: Documents of a leaf of the reduction tree, and children of an inner node. They set task sizes only.
 LEAF, FAN = 4000, 32
+#: Undecided documents of a source that a group passes on, for each power of two of words.
+CHANGE = 3
+#: Sources of a group above the leaves, on average.
+SOURCES = 32
 EPS = 1e-12
 _STATE = "node long, source string, doc_id long, row_key long, copies_of_row long, size long, whole long, part double, done boolean"
 
@@ -31,13 +40,12 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
     weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
     total, out, open_ = float(sum(sizes.values())), {}, list(order)
     while open_:
-        rest = total - sum(out.values())
-        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
-        above = [s for s in open_ if share[s] > MOST_COPIES * sizes[s]]
+        unit = (total - sum(out.values())) / sum(weight[s] for s in open_)
+        above = {s: float(MOST_COPIES * sizes[s]) for s in open_ if unit * weight[s] > MOST_COPIES * sizes[s]}
         if not above:
-            return out | share
-        out |= {s: float(MOST_COPIES * sizes[s]) for s in above}
-        open_ = [s for s in open_ if s not in out]
+            return out | {s: unit * weight[s] for s in open_}
+        out |= above
+        open_ = [s for s in open_ if s not in above]
     return out
 
 
@@ -72,26 +80,71 @@ def pivot(parts: list[float], masses: list[float], keys: list[int], level: int)
     return held
 
 
+def make_up(parts: list[float], masses: list[float], fractional: list[bool], miss: float) -> None:
+    """Rounds units the other way while that brings the words taken nearer to those wanted: single ones first, the
+    largest that helps before smaller ones, then the pair of one more and one less that fits best, again and again.
+    miss is how many words too many are taken. Only units whose share was fractional can go either way."""
+    able = sorted((k for k in range(len(parts)) if fractional[k]), key=lambda k: (masses[k], k))
+    for k in reversed(able):
+        turned = masses[k] if parts[k] == 0 else -masses[k]
+        if abs(miss + turned) < abs(miss):
+            parts[k], miss = 1 - parts[k], miss + turned
+    while True:
+        more, less = ([k for k in able if parts[k] == x] for x in (0, 1))
+        sizes = [masses[k] for k in less]
+        near = ((abs(miss + masses[i] - sizes[j]), i, less[j]) for i in more for at in [bisect_left(sizes, miss + masses[i])] for j in (at - 1, at) if 0 <= j < len(sizes))
+        rest, i, j = min(near, default=(math.inf, 0, 0))
+        if rest >= abs(miss) - EPS:
+            return
+        parts[i], parts[j], miss = 1.0, 0.0, miss + masses[i] - masses[j]
+
+
+def change(masses: list[float], keys: list[int]) -> set[int]:
+    """CHANGE units of every power of two, by key."""
+    kept: dict[int, int] = {}
+    out = set()
+    for k in sorted(range(len(masses)), key=lambda k: (keys[k], masses[k])):
+        level = int(masses[k]).bit_length()
+        if kept.get(level, 0) < CHANGE:
+            kept[level] = kept.get(level, 0) + 1
+            out.add(k)
+    return out
+
+
+def settle(parts: list[float], masses: list[float], keys: list[int], level: int, last: bool) -> list[bool]:
+    """Rounds the parts of one source's units in place, large units first; tells which are decided."""
+    order = sorted(range(len(parts)), key=lambda k: (-masses[k], keys[k]))
+    spare = set() if last else change(masses, keys)
+    chosen = [k for k in order if k not in spare]
+    fractional = [EPS < p < 1 - EPS for p in parts]
+    mine = [parts[k] for k in chosen]
+    left = pivot(mine, [masses[k] for k in chosen], [keys[k] for k in chosen], level)
+    done = [k not in spare or not fractional[k] for k in range(len(parts))]
+    if left is not None and last:
+        miss = (round(mine[left]) - mine[left]) * masses[chosen[left]]
+        mine[left] = float(round(mine[left]))
+        make_up(mine, [masses[k] for k in chosen], [fractional[k] for k in chosen], miss)
+    elif left is not None:
+        done[chosen[left]] = False
+    for k, p in zip(chosen, mine):
+        parts[k] = p
+    return done
+
+
 def rounded(level: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        # Large units first: the small ones that follow complete them, and what stays fractional at the end is small.
-        group = group.assign(_mass=-group["size"] * group["copies_of_row"]).sort_values(["source", "_mass", "row_key", "doc_id"], na_position="last", kind="stable").drop(columns="_mass").reset_index(drop=True)
+        group = group.sort_values(["source", "row_key", "doc_id"], na_position="last", kind="stable").reset_index(drop=True)
         done, part = [True] * len(group), group["part"].tolist()
-        for _, at in group.groupby("source", dropna=False, sort=False).indices.items():
-            sizes = [group["size"][i] * group["copies_of_row"][i] for i in at]
-            keys = [int(group["row_key"][i]) for i in at]
-            heavy = [k for k, s in enumerate(sizes) if s > 0]
-            for k, s in enumerate(sizes):
-                if s <= 0:  # no words: no mass to pair
-                    part[at[k]] = float(uniform(keys[k], level) < part[at[k]])
-            mine = [part[at[k]] for k in heavy]
-            left = pivot(mine, [float(sizes[k]) for k in heavy], [keys[k] for k in heavy], level)
-            if left is not None and last:
-                mine[left], left = float(mine[left] >= 0.5), None
-            for k, p in zip(heavy, mine):
-                part[at[k]] = p
-            if left is not None:
-                done[at[heavy[left]]] = False
+        mass, key = (group["size"] * group["copies_of_row"]).tolist(), group["row_key"].tolist()
+        for at in group.groupby("source", dropna=False, sort=False).indices.values():
+            for i in at:
+                if mass[i] <= 0:  # no words: no mass to pair
+                    part[i] = float(uniform(key[i], level) < part[i])
+            heavy = [i for i in at if mass[i] > 0]
+            mine = [part[i] for i in heavy]
+            decided = settle(mine, [float(mass[i]) for i in heavy], [int(key[i]) for i in heavy], level, last)
+            for i, p, d in zip(heavy, mine, decided):
+                part[i], done[i] = p, d
         return group.assign(part=part, done=done)
 
     return run
@@ -108,8 +161,8 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows alike in all four columns are one unit and get the same number of copies each; rows that only share
     a doc_id are decided one by one. A null source is a source of its own, the last. Texts without words
     count 0 and are rounded on their own. If a source has no words its target is 0. An empty table gives none.
-    Each source's words differ from its target by less than its largest unit. The table of sources (a name
-    and two numbers each) is the only thing the driver sees.
+    A source's words miss its target by what its undecided units cannot make up, usually a few words. The
+    table of sources (a name and two numbers each) is the only thing the driver sees.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -125,7 +178,7 @@ def mix(docs: DataFrame) -> DataFrame:
     level, decided = 0, []
     while True:
         last = leaves == 1
-        key = ["node"] if level == 0 else ["node", F.pmod(F.xxhash64("source"), F.lit(64))]
+        key = ["node"] if level == 0 else ["node", F.pmod(F.xxhash64("source"), F.lit(max(1, len(found) // SOURCES)))]
         state = scratch.keep(state.groupBy(*key).applyInPandas(rounded(level, last), _STATE))
         decided.append(state.where("done"))
         if last:
