@@ -26,7 +26,7 @@ MOST_COPIES = 3
 #: Documents of a leaf of the reduction tree, and children of an inner node. They set task sizes only.
 LEAF, FAN = 4000, 32
 #: Undecided documents of a source that a group passes on, for each power of two of words.
-CHANGE = 3
+CHANGE = 6
 #: Sources of a group above the leaves, on average.
 SOURCES = 32
 EPS = 1e-12
@@ -80,23 +80,27 @@ def pivot(parts: list[float], masses: list[float], keys: list[int], level: int)
     return held
 
 
-def make_up(parts: list[float], masses: list[float], fractional: list[bool], miss: float) -> None:
-    """Rounds units the other way while that brings the words taken nearer to those wanted: single ones first, the
-    largest that helps before smaller ones, then the pair of one more and one less that fits best, again and again.
-    miss is how many words too many are taken. Only units whose share was fractional can go either way."""
+def make_up(parts: list[float], masses: list[float], fractional: list[bool], miss: float) -> float:
+    """Rounds units the other way while that brings the words taken nearer to those wanted: from the largest down all
+    that do not pass the mark, then the unit, or the pair of one more and one less, that fits best, again and again.
+    miss is how many words too many are taken; what is left of it is returned. Only units whose share was
+    fractional can go either way."""
     able = sorted((k for k in range(len(parts)) if fractional[k]), key=lambda k: (masses[k], k))
     for k in reversed(able):
         turned = masses[k] if parts[k] == 0 else -masses[k]
-        if abs(miss + turned) < abs(miss):
+        if turned * miss < 0 and abs(turned) <= abs(miss):
             parts[k], miss = 1 - parts[k], miss + turned
     while True:
         more, less = ([k for k in able if parts[k] == x] for x in (0, 1))
         sizes = [masses[k] for k in less]
-        near = ((abs(miss + masses[i] - sizes[j]), i, less[j]) for i in more for at in [bisect_left(sizes, miss + masses[i])] for j in (at - 1, at) if 0 <= j < len(sizes))
-        rest, i, j = min(near, default=(math.inf, 0, 0))
+        near = [(abs(miss + masses[i]), (i,)) for i in more] + [(abs(miss - masses[j]), (j,)) for j in less]
+        near += [(abs(miss + masses[i] - masses[less[j]]), (i, less[j])) for i in more for at in [bisect_left(sizes, miss + masses[i])] for j in (at - 1, at) if 0 <= j < len(sizes)]
+        rest, turn = min(near, default=(math.inf, ()))
         if rest >= abs(miss) - EPS:
-            return
-        parts[i], parts[j], miss = 1.0, 0.0, miss + masses[i] - masses[j]
+            return abs(miss)
+        for k in turn:
+            miss += masses[k] if parts[k] == 0 else -masses[k]
+            parts[k] = 1 - parts[k]
 
 
 def change(masses: list[float], keys: list[int]) -> set[int]:
@@ -121,9 +125,11 @@ def settle(parts: list[float], masses: list[float], keys: list[int], level: int,
     left = pivot(mine, [masses[k] for k in chosen], [keys[k] for k in chosen], level)
     done = [k not in spare or not fractional[k] for k in range(len(parts))]
     if left is not None and last:
-        miss = (round(mine[left]) - mine[left]) * masses[chosen[left]]
-        mine[left] = float(round(mine[left]))
-        make_up(mine, [masses[k] for k in chosen], [fractional[k] for k in chosen], miss)
+        near, mass, able, tried = round(mine[left]), [masses[k] for k in chosen], [fractional[k] for k in chosen], []
+        for end in (near, 1 - near):  # the farther one only if it ends nearer
+            ways = [float(end) if k == left else p for k, p in enumerate(mine)]
+            tried.append((make_up(ways, mass, able, (end - mine[left]) * mass[left]), ways))
+        mine = min(tried, key=lambda x: x[0])[1]
     elif left is not None:
         done[chosen[left]] = False
     for k, p in zip(chosen, mine):
