@@ -31,6 +31,15 @@ def test_query_reads_back(spark, tmp_path):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in mine).encode()).hexdigest()
 
 
+def test_the_hash_selects_among_layouts(spark):
+    """Conversations become records of several layouts in one table; each is read by the mapping its paths select."""
+    talk = {0: [("user", "hi"), ("assistant", ",}]: \"x\"")], 1: [("user", "do\n\nthis\n\nnow"), ("assistant", "ok")], 2: [("user", "\n\nb"), ("assistant", "")], 3: [("user", "a"), ("assistant", "b"), ("user", "c")], 4: [("system", "s"), ("user", "u")], 5: [("human", "h"), ("assistant", "z")], 6: [("assistant", "x" * 20_000_000)]}
+    df = spark.createDataFrame([(c, i, role, text) for c, ts in talk.items() for i, (role, text) in enumerate(ts)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.turns_of_json(chat.conversations_to_records(df), "record").collect()}
+    assert {c: [tuple(t) for t in r.turns] for c, r in got.items()} == talk
+    assert [got[c].layout for c in range(7)] == ["prompt_response", "instruction_input", "prompt_response", "from_value", "messages", "turn_rows", "from_value"]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in registry.op9_schema_fingerprints(spark, str(tmp_path)).collect()] == [-1]
@@ -46,6 +55,9 @@ def test_empty_table(spark, tmp_path):
         ({"instruction": "i", "output": None}, "instruction", [("user", "i"), ("assistant", None)]),
         ({"instruction": "i", "input": "x", "output": "o"}, "instruction_input", [("user", "i\n\nx"), ("assistant", "o")]),
         ({"rows": [{"turn": 2, "role": "assistant", "text": "b"}, {"turn": 1, "role": "user", "text": "a"}]}, "turn_rows", [("user", "a"), ("assistant", "b")]),
+        ({"messages": [{"role": "user", "content": "a", "name": "x", "weight": 1.5, "tools": [{"id": {"deep": [1]}}]}], "id": 7, "meta": {"a b": {"c": None}, "source": ["web"]}}, "messages", [("user", "a")]),
+        ({"prompt": "a", "response": "b", "extra": {}, "list": [], "score:x": 2}, "prompt_response", [("user", "a"), ("assistant", "b")]),
+        ({"prompt": {"role": "x"}, "response": "b"}, None, None),
         ({"unknown": 1}, None, None),
         ("not json", None, None),
         (None, None, None),

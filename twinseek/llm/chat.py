@@ -7,14 +7,16 @@ the turns, escapes control strings inside texts reversibly and reports the loss
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import running_starts
 
+#: Levels of nesting of unknown fields that are ignored.
+DEEPEST = 4
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -43,40 +45,33 @@ LAYOUTS = (
 )
 
 
-def fingerprint(skeleton: Column) -> Column:
-    return F.xxhash64(skeleton)
+#: Names of the known fields. Others are left out of a skeleton, so a record may hold more than its layout asks for.
+FIELDS = sorted({name for x in LAYOUTS for name in re.findall(r"(\w+): ", x.skeleton)})
 
 
-def skeleton_of(kind: T.DataType) -> str:
-    """Nested field paths of a column's type, written as json_skeleton writes those of a JSON text."""
-    if isinstance(kind, T.StructType):
-        return "OBJECT<" + ", ".join(f"{f.name}: {skeleton_of(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-    return f"ARRAY<{skeleton_of(kind.elementType)}>" if isinstance(kind, T.ArrayType) else "_"
+def fingerprint(skeleton: Column) -> Column:
+    return F.xxhash64(skeleton)
 
 
 def json_skeleton(record: Column) -> Column:
-    """Nested field paths of a JSON text; null if it is not JSON."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r"\b(STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|DECIMAL\(\d+,\s*\d+\))", "_")
+    """Nested paths of the known fields of a JSON text; null if it is not JSON, or over the 128 MB of a variant."""
+    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r"\b(STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|DECIMAL\(\d+,\s*\d+\))", "_")
+    unknown = rf"(?:`(?:[^`]|``)*+`|\b(?!(?:{'|'.join(FIELDS)}):)[^\s:,<>`]++): (?:_|OBJECT<[^<>]*+>|ARRAY<(?:_|OBJECT<[^<>]*+>|ARRAY<_>)?>)(?:, |(?=>))"
+    for _ in range(DEEPEST):  # a field that holds others goes after them
+        shape = F.regexp_replace(F.regexp_replace(shape, unknown, ""), ", >", ">")
+    return shape
 
 
 def turns_of_json(df: DataFrame, record: str) -> DataFrame:
-    """df with (layout, turns). A record of no known layout, or none, has null in both and stays."""
-    read = df.withColumns({"_mark": fingerprint(json_skeleton(F.col(record)))} | {f"_as_{x.name}": F.from_json(F.col(record), x.ddl) for x in LAYOUTS})
-    layout = turns = F.when(F.lit(False), None)
+    """df with (layout, turns). The hash of a record's field paths selects its layout, and the record is parsed as
+    that layout only. Unknown fields are ignored. A record of no known layout, or none, has null in both and stays."""
+    read = df.withColumn("_mark", fingerprint(json_skeleton(F.col(record))))
+    layout, turns = F.when(F.lit(False), ""), F.when(F.lit(False), F.array().cast(TURNS))
     for x in LAYOUTS:
         hit = F.col("_mark") == fingerprint(F.lit(x.skeleton))
         layout = layout.when(hit, x.name)
-        turns = turns.when(hit, F.expr(x.turns.replace("r.", f"_as_{x.name}.")).cast(TURNS))
-    return read.withColumns({"layout": layout.cast("string"), "turns": turns.cast(TURNS)}).drop("_mark", *(f"_as_{x.name}" for x in LAYOUTS))
-
-
-def turns_of_struct(df: DataFrame, record: str) -> DataFrame:
-    """df with (layout, turns) for a struct column; its layout is one for the whole table."""
-    shape = skeleton_of(df.schema[record].dataType)
-    x = next((x for x in LAYOUTS if x.skeleton == shape), None)
-    if x is None:
-        return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)})
-    return df.withColumns({"layout": F.lit(x.name), "turns": F.expr(x.turns.replace("r.", f"`{record}`.")).cast(TURNS)})
+        turns = turns.when(hit, F.expr(f"transform(array(from_json(`{record}`, '{x.ddl}')), r -> {x.turns})[0]").cast(TURNS))
+    return read.withColumns({"layout": layout, "turns": turns}).drop("_mark")
 
 
 def escape(text: Column) -> Column:
@@ -137,7 +132,10 @@ def read_back(df: DataFrame) -> DataFrame:
 
 
 def conversations_to_records(rows: DataFrame) -> DataFrame:
-    """One record per conv_id of rows(conv_id, turn, role, text): struct `record` in the turn_rows layout.
+    """(conv_id, record) for each conv_id of rows(conv_id, turn, role, text): a JSON text in the plainest layout that
+    holds the conversation. One user turn with its answer is a prompt and a response, or, where the prompt has an
+    empty line, an instruction with its input; turns of user and assistant are from-value pairs; other roles make messages,
+    and roles that a from-value pair would read as others make rows.
 
     A record holds its conversation, as the result asks for one text per conversation. Rows with the same
     turn go by role and text; a null turn goes first; null roles and texts are empty; a null conv_id is one
@@ -145,4 +143,20 @@ def conversations_to_records(rows: DataFrame) -> DataFrame:
     """
     empty = F.lit("")
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    return rows.select(F.col("conv_id").cast("long"), turn.alias("t")).groupBy("conv_id").agg(F.struct(F.sort_array(F.collect_list("t")).alias("rows")).alias("record"))
+    out = rows.select(F.col("conv_id").cast("long"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("_t"))
+    roles, first, second = F.transform("_t", lambda t: t["role"]), F.get("_t", F.lit(0))["text"], F.get("_t", F.lit(1))["text"]
+    alone = (F.size("_t") == 2) & (F.get(roles, F.lit(0)) == "user") & (F.get(roles, F.lit(1)) == "assistant")
+    head, tail = F.substring_index(first, "\n\n", 1), F.substr(first, F.length(F.substring_index(first, "\n\n", 1)) + 3)
+    parted = alone & first.contains("\n\n") & (head != "") & (tail != "")
+    said = {"user": "human", "assistant": "gpt"}
+    renamed = lambda role: F.when(role == "user", said["user"]).when(role == "assistant", said["assistant"]).otherwise(role)
+    plain = F.forall(roles, lambda r: r.isin(*said))
+    other = F.forall(roles, lambda r: ~r.isin(*said.values()))
+    record = (
+        F.when(parted, F.to_json(F.struct(head.alias("instruction"), tail.alias("input"), second.alias("output"))))
+        .when(alone, F.to_json(F.struct(first.alias("prompt"), second.alias("response"))))
+        .when(plain, F.to_json(F.struct(F.transform("_t", lambda t: F.struct(renamed(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations"))))
+        .when(other, F.to_json(F.struct(F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))))
+        .otherwise(F.to_json(F.struct(F.transform("_t", lambda t, i: F.struct(i.alias("turn"), t["role"].alias("role"), t["text"].alias("text"))).alias("rows"))))
+    )
+    return out.select("conv_id", record.alias("record"))

@@ -73,7 +73,7 @@ def op9_schema_fingerprints(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.sql(f"select -1L as conv_id, t.turn, t.role, '{PLANTED}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     records = chat.conversations_to_records(rows.union(extra))
-    out = chat.read_back(chat.format_chat(chat.turns_of_struct(records, "record")))
+    out = chat.read_back(chat.format_chat(chat.turns_of_json(records, "record")))
     said = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
