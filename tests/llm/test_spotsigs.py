@@ -13,9 +13,9 @@ def slow_spots(text):
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     out = set()
     for i, w in enumerate(words):
-        if w in STOP and i + 1 < len(words) and words[i + 1] not in STOP:
-            rest = [x for x in words[i + 2 :] if x not in STOP]
-            out.add((w, words[i + 1], rest[0] if rest else ""))
+        rest = [x for x in words[i + 1 :] if x not in STOP][:2] if w in STOP else []
+        if rest:
+            out.add((w, *rest, "")[:3])
     return out or set(words) or ({text} if text else set())
 
 
@@ -32,7 +32,7 @@ def check(spark, data, tmp_path):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
         a, b, c = slow_spots(t), slow_spots(edited), slow_spots(after)
-        near = [0.0 if min(len(a), len(x)) < spotsigs.FLOOR * max(len(a), len(x)) else jaccard(a, x) for x in (b, c)]
+        near = [jaccard(a, x) for x in (b, c)]
         want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *(round(x, 9) for x in near)))
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got), key=str) == sorted(want, key=str)
     prints = {}
@@ -58,11 +58,27 @@ def test_empty_table(spark, tmp_path):
     check(spark, [], tmp_path)
 
 
-def test_successors(spark, monkeypatch):
-    monkeypatch.setattr(spotsigs, "BLOCK_ROWS", 3)
-    ids = sorted(random.Random(1).sample(range(-5000, 90000), 400))
-    got = spotsigs.successors(spark.createDataFrame([(i,) for i in ids], "id long")).collect()
-    assert {r.id: r.next_id for r in got} == dict(zip(ids, ids[1:] + ids[:1]))
+def test_ids_anywhere(spark, tmp_path, monkeypatch):
+    """Ids at both ends of long, far from all others, shared by many rows, or missing, and columns with clashing names."""
+    monkeypatch.setattr(spotsigs, "BLOCK_ROWS", 8)
+    r = random.Random(6)
+    text = lambda: " ".join(r.choice(["the", "of", "a1", "b2", "c3", "d4"]) for _ in range(12))
+    ids = [-(1 << 63), (1 << 63) - 1, 1 << 50, *range(60), *[77] * 40, *[None] * 30]
+    check(spark, [(i, text(), None, None, None) for i in ids], tmp_path)
+
+
+def test_blocks_hold_about_as_many_rows_each(spark):
+    data = [(i, "x", None, None, None) for i in [*range(5000), 1 << 50, -(1 << 60)]] + [(None, f"{i:05d}", None, None, None) for i in range(5000)]
+    rows_ = docs(spark, data).select("doc_id", "text")
+    n = [r["count"] for r in rows_.groupBy(spotsigs.blocks(rows_).alias("b")).count().collect()]
+    assert max(n) <= 3 * spotsigs.BLOCK_ROWS and len(n) >= 20
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    docs(spark, rows(["the one text"] * 600)).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = registry.op3_spot_signatures(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and len(set(re.findall(r"Exchange hashpartitioning\(block#\d+, \d+\), REPARTITION", re.sub(r"#\d+", "#0", plan)))) == 1
+    assert "WindowGroupLimit" not in plan
 
 
 def test_partitions_keep_similar_sets_together(spark):

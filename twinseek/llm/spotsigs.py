@@ -8,6 +8,7 @@ enough, and Jaccard is not computed where the lengths alone rule it out. Only Da
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,21 +23,23 @@ ANCHORS = (
     "au avec dans de des du elle en est et il la le les par pas pour que qui sur un une "
     "como con del el es las los más no para por se su una y"
 )
-#: Likeness below which set lengths alone decide: it is then taken as 0.
-FLOOR = 0.05
-#: Documents of a block whose order is settled in one task.
-BLOCK_ROWS = 256
+#: Rows of a block whose order is settled in one task, blocks at most, and sampled rows that choose a block's bounds.
+BLOCK_ROWS, MOST_BLOCKS, SAMPLED = 256, 1 << 14, 16
+#: Code points of a text that bounds look at among rows of one doc_id.
+HEAD = 12
 
 
 def signatures(text: Column) -> Column:
-    """Distinct signatures of a whole text as a sorted array of longs. A text without spots has its words for
-    signatures, one without words itself, and an empty one none."""
+    """Distinct signatures of a whole text as a sorted array of longs, one for every anchor. A text without spots has
+    its words for signatures, one without words itself, and an empty one none."""
     any_of = "|".join(sorted(set(ANCHORS.split())))
-    spot = rf"(?<![^ ])((?:{any_of}) )++([^ ]++ )(?=(?:(?:{any_of}) )*+([^ ]++)?)"
+    spot = rf"(?<![^ ])((?:(?:{any_of}) )++)([^ ]++ )(?=(?:(?:{any_of}) )*+([^ ]++)?)"
     flat = F.concat(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     marked = F.split(F.regexp_replace(flat, spot, "\n$1\t$2$3\n"), "\n")
     mark = lambda x: F.shiftrightunsigned(F.xxhash64(x), 32)
-    spots = F.transform(F.filter(marked, lambda x: x.contains("\t")), mark)
+    # Neighbouring anchors share the chain after them.
+    anchors, chain = (lambda x: F.split(F.rtrim(F.substring_index(x, "\t", 1)), " ")), (lambda x: F.substring_index(x, "\t", -1))
+    spots = F.flatten(F.transform(F.filter(marked, lambda x: x.contains("\t")), lambda x: F.transform(anchors(x), lambda a: mark(F.concat(a, F.lit("\t"), chain(x))))))
     words = F.sort_array(F.array_distinct(F.transform(F.split(F.trim(flat), " "), mark)))
     alone = F.when(text == "", F.array().cast("array<bigint>")).when(F.trim(flat) == "", F.array(mark(text))).otherwise(words)
     return let(F.sort_array(F.array_distinct(spots)), lambda s: F.when(F.size(s) > 0, s).otherwise(alone))
@@ -51,66 +54,80 @@ def length_partition(n: Column, threshold: float) -> Column:
     return F.floor(F.log(n + 1.0) / -math.log(threshold))
 
 
-def pruned_jaccard(a: Column, b: Column, threshold: float = FLOOR) -> Column:
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of two sets; 1 for two empty sets."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def pruned_jaccard(a: Column, b: Column, threshold: float) -> Column:
     """Jaccard of two sets, 0 where their lengths keep it below threshold; 1 for two empty sets."""
 
     def of(x: Column) -> Column:
         def of_both(y: Column) -> Column:
             small, large = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
             far = F.abs(length_partition(F.size(x), threshold) - length_partition(F.size(y), threshold)) > 1
-            common = let(F.size(F.array_intersect(x, y)), lambda k: k / (F.size(x) + F.size(y) - k))
-            return F.when(large == 0, 1.0).when(far | (small < threshold * large), 0.0).otherwise(common)
+            return F.when((large > 0) & (far | (small < threshold * large)), 0.0).otherwise(jaccard(x, y))
 
         return let(b, of_both)
 
     return let(a, of)
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(id, next_id) of distinct longs in ascending order, the last followed by the first. Blocks of ids are
-    settled side by side; what follows a block's last is the first of the block that succeeds it."""
-    n, low, high = ids.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    if n <= 16 * BLOCK_ROWS:
-        order = Window.orderBy("id")
-        return ids.select("id", F.coalesce(F.lead("id").over(order), F.lit(low)).alias("next_id"))
-    width = max(1, (high - low + 1) * BLOCK_ROWS // n)
-    placed = ids.withColumn("block", F.floor((F.col("id") - low) / width))
-    firsts = placed.groupBy("block").agg(F.min("id").alias("first"))
-    after = successors(firsts.select(F.col("block").alias("id"))).select(F.col("id").alias("block"), F.col("next_id").alias("next_block"))
-    follow = after.join(firsts.select(F.col("block").alias("next_block"), "first"), "next_block")
-    inside = placed.withColumn("next_id", F.lead("id").over(Window.partitionBy("block").orderBy("id")))
-    return inside.join(follow, "block").select("id", F.coalesce("next_id", "first").alias("next_id"))
+def blocks(rows: DataFrame) -> Column:
+    """Block of a row of (doc_id, text) in ascending order of (doc_id, nulls last; text): bounds from a sample by hash,
+    so blocks hold about as many rows each however ids lie, and rows of one id are parted by how their texts begin.
+    The bounds set task sizes only; the driver holds at most MOST_BLOCKS * SAMPLED of them."""
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), F.substr("text", F.lit(1), F.lit(HEAD)).alias("t"))
+    n = rows.count()
+    wanted = min(MOST_BLOCKS, n // BLOCK_ROWS)
+    if not wanted:
+        return F.lit(0)
+    least = int(-(1 << 63) + min(1.0, wanted * SAMPLED / n) * ((1 << 64) - 1025))
+    some = sorted((r.n, r.i, r.t) for r in rows.where(F.xxhash64("doc_id", F.substr("text", F.lit(1), F.lit(HEAD))) <= least).select(place.alias("p")).select("p.*").distinct().collect())
+    ends = some[SAMPLED - 1 :: SAMPLED]
+    width = max(1, math.isqrt(len(ends)))  # two levels: which run of bounds, which bound in it
+    runs = [[{"n": n, "i": i, "t": t} for n, i, t in ends[a : a + width]] for a in range(0, len(ends), width)]
+    bounds = F.from_json(F.lit(json.dumps(runs)), "array<array<struct<n:boolean,i:bigint,t:string>>>")
+    below = lambda bs, p: F.size(F.filter(bs, lambda b: b < p))
+    run = lambda p: F.size(F.filter(bounds, lambda bs: F.element_at(bs, -1) < p))
+    return let(place, lambda p: let(run(p), lambda k: k * width + F.coalesce(below(F.get(bounds, k), p), F.lit(0))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with next_text, the text of the document after it by doc_id, after the last the first.
+    """docs(doc_id, text) with sigs, next_text and next_sigs: the text after it by doc_id and its signatures, after the last the first.
 
-    Rows that share a doc_id go by text; a null doc_id goes last; null texts are empty. Texts are shuffled once.
+    Rows that share a doc_id go by text; a null doc_id goes last; null texts are empty. Texts are written to one
+    shuffle, by block, and signatures are taken once from each text; what follows a block's last row is the first
+    of the next block that has rows.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * BLOCK_ROWS // max(1, n))
-    rows = docs.select(F.floor((F.coalesce("doc_id", F.lit(high)) - low) / width).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.withColumn("block", blocks(rows)).repartition("block")
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    placed = rows.withColumns({"next_text": F.lead("text").over(order), "rank": F.row_number().over(order)})
-    firsts = rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("block").alias("next_block"), F.col("text").alias("next_text"))
-    blocks = successors(rows.select(F.col("block").alias("id")).distinct()).select(F.col("id").alias("block"), F.col("next_id").alias("next_block"))
-    lasts = placed.where("next_text is null").select("block", "doc_id", "text").join(blocks, "block").join(firsts, "next_block")
-    return placed.where("next_text is not null").select("doc_id", "text", "next_text").union(lasts.select("doc_id", "text", "next_text"))
+    after = F.lead(F.struct("text", "sigs")).over(order)
+    placed = dealt.withColumn("sigs", signatures(F.col("text"))).withColumn("after", after)
+    # No row number here: Spark would take the first rows before the shuffle too, and shuffle texts twice.
+    firsts = dealt.withColumn("before", F.lag(F.lit(1)).over(order)).where("before is null").select("block", F.struct("text", signatures(F.col("text")).alias("sigs")).alias("first"))
+    turn = Window.orderBy("block")  # at most MOST_BLOCKS + 1 numbers
+    numbers = firsts.select("block")
+    follow = numbers.select("block", F.lead("block").over(turn).alias("next_block"), F.min("block").over(Window.partitionBy()).alias("start"))
+    follow = follow.select(F.col("block").alias("_block"), F.coalesce("next_block", "start").alias("next_block"))
+    follow = follow.join(firsts.select(F.col("block").alias("next_block"), "first"), "next_block").select("_block", "first")
+    full = placed.join(follow, F.col("block") == F.col("_block")).withColumn("after", F.coalesce("after", "first"))
+    return full.select("doc_id", "text", "sigs", F.col("after.text").alias("next_text"), F.col("after.sigs").alias("next_sigs"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """(doc_id, text, edited, sigs, edited_sigs, next_sigs, near_edited, near_next) for every row of docs(doc_id, text).
 
     edited is the text with its last quarter of code points replaced by the first as many (or all) of the next
-    document. An only document follows itself. No rows give none.
+    document. An only document follows itself. Likenesses are exact. No rows give none.
     """
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))
-    out = with_next(docs).withColumn("edited", edited)
-    out = out.withColumns({"sigs": signatures(F.col("text")), "edited_sigs": signatures(F.col("edited")), "next_sigs": signatures(F.col("next_text"))})
-    near = lambda other: pruned_jaccard(F.col("sigs"), F.col(other))
+    out = with_next(docs).withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    near = lambda other: jaccard(F.col("sigs"), F.col(other))
     return out.withColumns({"near_edited": near("edited_sigs"), "near_next": near("next_sigs")}).drop("next_text")
 
 
