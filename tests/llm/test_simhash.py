@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.helpers import docs, rows
 from twinseek.llm import simhash
 
@@ -100,3 +101,23 @@ def test_similar_documents_match_brute_force(spark):
     got = simhash.similar_documents(docs(spark, data), 5, 0.8).collect()
     assert sorted((x.doc_id, x.component_id) for x in got) == slow_similar(data)
     assert simhash.similar_documents(docs(spark, []), 5, 0.8).collect() == []
+
+
+def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch):
+    """One bucket for all texts, and predecessors that are mostly of other groups: the rest finds what they miss."""
+    monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
+    monkeypatch.setattr(simhash, "bands", lambda shingles: [7] if len(shingles) else [])
+    data = edited(11)
+    got = simhash.similar_documents(docs(spark, data), 5, 0.8).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == slow_similar(data)
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    data = [(None, long, "en", "z", 1), (9, long, "fr", "a", 2), (9, long, "de", "a", 3), (12, long + " end", "en", None, 4), (None, "alone", None, None, 5), (None, "alone", None, None, 6), (3, None, None, None, None), (4, "", None, None, None)]
+    every = docs(spark, data).withColumns({"n": F.lit("n"), "band": F.lit(1), "o": F.map_from_arrays(F.array(F.lit("k")), F.array("n_chars"))})
+    kept = simhash.first_of_groups(every, 5, 0.8)
+    got = sorted(map(tuple, kept.select(data and ["doc_id", "text", "n_chars"]).collect()), key=str)
+    again = sorted(map(tuple, simhash.first_of_groups(every.orderBy(F.col("n_chars").desc()), 5, 0.8).select("doc_id", "text", "n_chars").collect()), key=str)
+    assert kept.columns == every.columns and got == again and [g[:2] for g in got] == [(3, None), (9, long), (None, "alone")]
+    assert simhash.first_of_groups(every.where("false"), 5, 0.8).collect() == []

@@ -5,8 +5,9 @@ neighbours for radius 2). Two fingerprints within the radius share a variant, an
 within the radius, so after a shuffle on the variants each group is linked as a chain, never as all pairs.
 A group holds at most 65 distinct fingerprints, because copies were folded before.
 
-similar_documents is for edited copies, whose fingerprints lie further apart than any ball in reach: MinHash
-bands propose pairs and the Jaccard similarity of the whole texts' shingles decides.
+similar_groups is for edited copies, whose fingerprints lie further apart than any ball in reach: MinHash
+bands propose pairs and the Jaccard similarity of the whole texts' shingles decides. No pair of a bucket is left
+out for the bucket's size: what is not compared is connected already, or ruled out by the numbers of shingles.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 
@@ -25,7 +27,7 @@ HALF_RADIUS = 1
 SHINGLE_WORDS = 3
 #: MinHash bands and the minima of a band: a pair of Jaccard similarity 0.8 shares no band three times in a million.
 BANDS, BAND_ROWS = 32, 5
-#: Predecessors in a band's bucket that a document is compared with, beyond those it is linked to already.
+#: Predecessors in a band's bucket that a document is compared with at first; most of a large group is connected then.
 NEIGHBOURS = 8
 
 
@@ -134,50 +136,90 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def similar_documents(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, root, component_id) for every row of docs(doc_id, text), as near_duplicates, but linked where the
-    sets of width-word shingles have at least that Jaccard similarity. fp is shingle_key.
+def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(signed, roots): all rows of docs(text, ...) with _fp, shingle_key of the text, and _rid, a number of the row;
+    and (node, root) for every _fp that is linked to another: the least _fp of its component. Texts are linked where
+    their sets of width-word shingles have at least that Jaccard similarity.
 
-    Pairs come from MinHash bands, each document with its predecessors in a bucket, and are verified on whole texts.
-    Null and word-free texts have one fp and are like each other only.
+    Pairs come from MinHash buckets, each document first with its NEIGHBOURS predecessors; then, where a bucket
+    still holds several components, all members outside the largest with all members of other components. Pairs
+    are verified on whole texts. Null and word-free texts have one _fp and are like each other only.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch, names = Scratch(spark), docs.columns
+    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], "_fp long, _n long, _bands array<long>").schema.fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py() or b"", width) for t in b.column("text").cast(pa.binary())]
-            keys, found = [_signed(s.tobytes()) for s in sets], [bands(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "fp", "bands"])
+            more = [pa.array([_signed(s.tobytes()) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, "_fp", "_n", "_bands"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [[shingle_set(t.as_py() or b"", width) for t in b.column(c).cast(pa.binary())] for c in ("text_u", "text_v")]
             yield b.select(["u", "v"]).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(*sets)], pa.bool_()))
 
-    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text string, fp long, bands array<long>"))
-    nodes = signed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    signed = scratch.keep(docs.mapInArrow(sign, schema).withColumn("_rid", F.monotonically_increasing_id()))
     bucket = Window.partitionBy("band").orderBy("fp")
-    before = F.array(*(F.lag("fp", k).over(bucket) for k in range(1, NEIGHBOURS + 1)))
-    posts = signed.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band"))
-    placed = posts.select(F.col("fp").alias("v"), before.alias("before")).where("before[0] is not null")
-    near = scratch.keep(placed.select("v", F.posexplode("before").alias("nth", "u")).where("u is not null").groupBy("u", "v").agg(F.min("nth").alias("nth")))
-
-    needed = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    texts = scratch.keep(signed.select("fp", "text").join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")))
+    each = signed.groupBy(F.col("_fp").alias("fp"), F.col("_n").alias("n")).agg(F.first("_bands").alias("bands")).select("fp", "n", F.explode("bands").alias("band"))
+    before = F.array(*(F.struct(F.lag("fp", k).over(bucket).alias("u"), F.lag("n", k).over(bucket).alias("m")) for k in range(1, NEIGHBOURS + 1)))
+    posts = scratch.keep(each)
+    fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m)
+    near = posts.select("fp", "n", before.alias("before")).select("fp", "n", F.posexplode("before").alias("nth", "b")).where(F.col("b.u").isNotNull() & fits(F.col("n"), F.col("b.m")))
+    near = scratch.keep(near.groupBy(F.col("b.u").alias("u"), F.col("fp").alias("v")).agg(F.min("nth").alias("nth")))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("u", "v")).alias("_fp")).distinct()
+        texts = scratch.keep(signed.select("_fp", "text").join(needed, "_fp", "left_semi").groupBy(F.col("_fp").alias("fp")).agg(F.first("text").alias("text")))
         end = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))
         return scratch.keep(pairs.select("u", "v").join(end("u"), "u").join(end("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
 
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
     # Direct predecessors first. They join most of a large group, so that few of the other pairs need their texts.
-    links = verified(near.where("nth = 0"))
-    roots = components(links, scratch)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = near.where("nth > 0").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    more = verified(apart)
-    if not more.isEmpty():
-        roots = components(links.union(more), scratch)
-    return _placed(signed.select("doc_id", "fp"), nodes, roots)
+    roots = components(verified(near.where("nth = 0")), scratch)
+    for rest in (lambda: apart(near.where("nth > 0"), roots), lambda: _across(posts, near, roots, fits)):
+        pairs = scratch.keep(rest())
+        if not pairs.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(verified(pairs)), scratch)
+    return signed.drop("_n", "_bands"), roots
+
+
+def _across(posts: DataFrame, near: DataFrame, roots: DataFrame, fits) -> DataFrame:
+    """Pairs (u, v) of different components that share a bucket and were not proposed before. Of a bucket only
+    members outside its largest component look for partners, so a large group meets the few that are left over, not itself."""
+    full = posts.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where(F.col("size") > NEIGHBOURS + 1)  # smaller ones are done
+    member = full.join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    part = member.groupBy("band", "root").agg(F.count("*").alias("size"))
+    most = part.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = member.join(most.select("band", "most"), "band")
+    few = open_.where("root <> most").select("band", F.col("fp").alias("f"), F.col("n").alias("fn"), F.col("root").alias("fr"))
+    met = few.join(open_, "band").where((F.col("fr") != F.col("root")) & fits(F.col("fn"), F.col("n")) & ((F.col("root") == F.col("most")) | (F.col("f") < F.col("fp"))))
+    pairs = met.select(F.least("f", "fp").alias("u"), F.greatest("f", "fp").alias("v")).distinct()
+    return pairs.join(near.select("u", "v"), ["u", "v"], "left_anti")
+
+
+def similar_documents(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of docs(doc_id, text), as near_duplicates, but linked as
+    similar_groups links. fp is shingle_key."""
+    signed, roots = similar_groups(docs.select("doc_id", "text"), width, similarity)
+    fps = signed.select("doc_id", F.col("_fp").alias("fp"))
+    return _placed(fps, fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), roots)
+
+
+def first_of_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """One row of each group of similar documents, with all columns of docs(doc_id, text, ...): that with the least
+    doc_id, a null one last; of rows that share it the first by hash of its columns. Rows without a doc_id are
+    grouped like any other. No rows give none."""
+    signed, roots = similar_groups(docs, width, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("text", F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))).alias("h"), "_rid")
+    rows = signed.select("_fp", order.alias("o")).join(roots, F.col("_fp") == F.col("node"), "left")
+    chosen = rows.groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("o").alias("o")).select(F.col("o._rid").alias("_chosen"))
+    # Always a merge join: the rows that stay grow with the corpus, and the plan is then the same at every size.
+    return signed.join(chosen.hint("merge"), F.col("_rid") == F.col("_chosen")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _placed(fps: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
