@@ -62,6 +62,30 @@ def test_popular_names_go_by_window(spark, monkeypatch):
     check(spark, made(2) + [(200 + i, "a popular passage that very many documents share, word by word, " + str(i) * 3, "en", None, None) for i in range(9)])
 
 
+def test_a_passage_of_a_thousand_documents(spark, monkeypatch):
+    """Many chunks, and a name with over POPULAR different runs: the passage stands between different words everywhere."""
+    monkeypatch.setattr(sd, "CHUNK", 4000)
+    r = random.Random(4)
+    data = [(i if i % 3 else 5, f"{r.random()} the passage that so many documents have in common, {r.random()} {i}", "en", None, None) for i in range(1000)]
+    seen, names = [], sd.Chunk.names
+    monkeypatch.setattr(sd.Chunk, "names", lambda self: seen.append(names(self)) or seen[-1])
+    chunk = sd.Chunk(np.arange(1000), [d[1].encode() for d in data])
+    assert (chunk.names()[1] == 3).any()
+    check(spark, data)
+
+
+def test_hash_collisions_are_found(spark):
+    chunk = sd.Chunk(np.array([1, 2, 3]), [b"a" * 50, b"b" * 50, b"a" * 50])
+    same = np.zeros(3, sd.U)  # as if all runs had one hash
+    got = sd.Pieces(chunk, chunk.start, chunk.count, chunk.doc, same, same, 4)
+    assert got.cls[0] == got.cls[2] != got.cls[1] and got.least[got.cls].tolist() == [1, 2, 1]
+
+
+def test_greatest_id(spark):
+    top = (1 << 63) - 1
+    check(spark, [(top, "x" * 80, None, None, None), (None, "x" * 90, None, None, None), (-top - 1, "y" * 70, None, None, None), (top, "y" * 60, None, None, None)])
+
+
 def test_block_edges(spark, monkeypatch):
     monkeypatch.setattr(sd, "BLOCK", 300)
     check(spark, made(3, 40))

@@ -12,9 +12,11 @@ is handled together.
    two suffixes by a binary search for their common extension over prefix hashes, then verifying that
    neighbours taken for equal have equal bytes. The answer is, per run, the least doc_id and the windows
    that a smaller doc_id has too.
-3. Names that very many documents share are dealt window by window instead, by window, so that no task
-   gathers the documents around a popular passage; equality is then that of two independent 64-bit hashes.
-4. Chunks cut the covered bytes out.
+3. Chunks cut the covered bytes out.
+
+A name with very many different runs would gather them all in one task. Its runs are cut into their windows and
+these are dealt by the hash of their bytes instead of by name: salt for a hot name that keeps equal windows
+together. They are runs of one window each, sent as bytes and sorted and verified like all others.
 
 What one chunk tells one bucket is folded first (a name, run or window once), so popular strings cost one
 entry per chunk. All steps are one plan: the dealt texts are one exchange that is read three times, and a
@@ -37,10 +39,10 @@ SPAN = WINDOW - K + 1  # K-byte strings of a window, and most windows of a run
 WIDTH = -(-(SPAN + WINDOW) // 8) * 8  # more than the bytes of a run, in whole words of 8
 #: Bytes of text in a chunk, and bytes hashed at a time. They set task and array sizes only.
 CHUNK, BLOCK = 6 << 20, 1 << 18
-#: Estimated documents from which on a name is dealt by window. A chunk reports a name as found in 1, 2, FEW or
-#: POPULAR documents, rounded down.
+#: Estimated different runs from which on a name is dealt by window. A chunk reports a name as found in one document,
+#: in several, or with FEW or POPULAR different runs, rounded down. They set task sizes only.
 FEW, POPULAR = 32, 512
-LAST = np.iinfo(np.int64).max  # a null doc_id: later than all others
+LAST = np.iinfo(np.int64).max  # stands for a null doc_id: none is later
 U = np.uint64
 
 
@@ -95,22 +97,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The texts of a chunk end to end, and their runs: start, number of windows, name, document."""
+    """The texts of a chunk end to end, and their runs: start, number of windows, name, hash of the bytes, document."""
 
     def __init__(self, doc_ids: np.ndarray, texts: list[bytes]):
         self.ids = doc_ids
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         found = [self._runs(a, min(len(self.data), a + BLOCK)) for a in range(0, len(self.data), BLOCK)]
-        self.start, self.count, self.name = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found) if found else ((), (), ()), (np.int64, np.int64, U)))
+        self.start, self.count, self.name, self.hash = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found) if found else ((),) * 4, (np.int64, np.int64, U, U)))
         self.doc = np.repeat(doc_ids, np.diff(np.append(0, np.searchsorted(self.start, self.ends))))
 
-    def _runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _runs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows that start in [a, b). A block's edge splits a run, which changes no result."""
         part = self.data[a : b + WINDOW - 1]
         n = len(part) - WINDOW + 1  # windows that fit
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
         h = Hashes(part)
         m = len(part) - K + 1
         least = mixed((h.prefix[K:] - h.prefix[:-K]) * h.down[:m])
@@ -137,21 +139,24 @@ class Chunk:
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             at, left = np.repeat(at, parts) + nth * SPAN, np.repeat(count, parts) - nth * SPAN
             count = np.minimum(left, SPAN)
-        return at + a, count, least[at]
+        return at + a, count, least[at], mixed(h.of(at, count + WINDOW - 1) + count.astype(U))
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct names, level of the documents that have each: 0 .. 3 for 1, 2, FEW, POPULAR; name of each run)."""
-        order = np.argsort(self.name, kind="stable")  # runs of a name stay in the order of documents
-        name, doc = self.name[order], self.doc[order]
+        """(distinct names, level of each: 0 .. 3 for one document, several, FEW and POPULAR different runs; name of each run)."""
+        order = np.lexsort((self.hash, self.name))
+        name, doc, run = self.name[order], self.doc[order], self.hash[order]
         new = np.ones(len(name), bool)
         new[1:] = name[1:] != name[:-1]
         other = new.copy()
-        other[1:] |= doc[1:] != doc[:-1]
+        other[1:] |= run[1:] != run[:-1]
         at = np.flatnonzero(new)
-        docs = np.add.reduceat(other, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        if not len(at):
+            return name, np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        runs = np.add.reduceat(other, at, dtype=np.int64)
+        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
         of = np.empty(len(name), np.int64)
         of[order] = np.cumsum(new) - 1
-        return name[at], np.searchsorted([2, FEW, POPULAR], docs, "right").astype(np.uint8), of
+        return name[at], np.maximum(several, np.where(runs >= POPULAR, 3, np.where(runs >= FEW, 2, 0))).astype(np.uint8), of
 
     def bytes_of(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Bytes of runs, one row each, zero beyond their end."""
@@ -318,8 +323,10 @@ def _judge_windows(count: np.ndarray, least: np.ndarray, rows: np.ndarray, bits:
 
 def _chunk(table: pa.Table) -> Chunk:
     """The chunk in an order of its own, so that each step numbers runs alike however its rows arrived."""
-    pairs = sorted((LAST if i is None else i, t or b"") for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()))
-    return Chunk(np.array([i for i, _ in pairs], np.int64), [t for _, t in pairs])
+    pairs = sorted((i is None, LAST if i is None else i, t or b"") for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()))
+    chunk = Chunk(np.array([i for _, i, _ in pairs], np.int64), [t for *_, t in pairs])
+    chunk.nameless = sum(none for none, *_ in pairs)  # the last rows
+    return chunk
 
 
 _OUT = "to long, back long, data binary"
@@ -344,7 +351,7 @@ class Plan:
         mine = table.column("chunk")[0].as_py()
         return _rows([b for b, *_ in parts], [mine] * len(parts), [pack(n=short[x:y], d=np.packbits(np.stack([level[order[x:y]] & 1, level[order[x:y]] >> 1]))) for _, x, y in parts])
 
-    # 1: bucket -> chunk: bits of its names that several documents share, and of those that very many do
+    # 1: bucket -> chunk: bits of its names that several documents share, and of those with very many runs
     def count(self, table: pa.Table) -> pa.Table:
         names, weights, sizes = [], [], []
         for data in table.column("data"):
@@ -370,8 +377,8 @@ class Plan:
             out.append(pack(b=np.packbits(np.stack([t > 1, t >= POPULAR]))))
         return _rows(back, [mine] * len(back), out)
 
-    def _selected(self, chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(runs to judge as runs, runs to judge by window), as indices."""
+    def _pieces(self, chunk: Chunk, answers: pa.Table) -> "Pieces":
+        """The runs to judge, those of popular names window by window."""
         names, _, name_of = chunk.names()
         order, parts = by_bucket(bucket_of(names, self.buckets))
         state = np.zeros(len(names), np.uint8)
@@ -381,107 +388,64 @@ class Plan:
             shared, many = np.unpackbits(bits)[: 2 * (y - x)].reshape(2, y - x)
             state[order[x:y]] = shared + many
         of = state[name_of]
-        return np.flatnonzero(of == 1), np.flatnonzero(of == 2)
-
-    def _distinct(self, chunk: Chunk, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class of each run, a run of each class, least doc_id of each class)."""
-        rows = chunk.bytes_of(chunk.start[runs], chunk.count[runs])
-        cls = classes(rows, chunk.count[runs])
-        n = int(cls.max()) + 1 if len(cls) else 0
-        rep = np.empty(n, np.int64)
-        rep[cls[::-1]] = np.arange(len(cls))[::-1]
-        return cls, runs[rep], least_of(cls, chunk.doc[runs], n)
-
-    def _windows(self, chunk: Chunk, runs: np.ndarray):
-        """Windows of popular runs: (start, document, class, hashes of each class, least doc_id of each class)."""
-        n = chunk.count[runs]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start, doc = np.repeat(chunk.start[runs], n) + nth, np.repeat(chunk.doc[runs], n)
-        h = [np.zeros(len(start), U) for _ in BASES]
+        whole, hot = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
+        n = chunk.count[hot]
+        start = np.repeat(chunk.start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        deal = np.zeros(len(start), U)
         for a in range(0, len(chunk.data), BLOCK):
             i = np.flatnonzero((start >= a) & (start < a + BLOCK))
             if len(i):
-                part = chunk.data[a : a + BLOCK + WINDOW]
-                for k, base in enumerate(BASES):
-                    h[k][i] = mixed(Hashes(part, base).of(start[i] - a, WINDOW))
-        order = np.lexsort(h[::-1])
-        new = np.ones(len(start), bool)
-        new[1:] = (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1])
-        cls = np.empty(len(start), np.int64)
-        cls[order] = np.cumsum(new) - 1
-        rep = order[new]
-        return start, doc, cls, (h[0][rep], h[1][rep]), least_of(cls, doc, len(rep))
-
-    # 2 and 3: chunk -> bucket: distinct runs, distinct popular windows
+                deal[i] = mixed(Hashes(chunk.data[a : a + BLOCK + WINDOW]).of(start[i] - a, WINDOW) + U(1))
+        join = lambda x, y: np.concatenate([x, y])
+        return Pieces(chunk, join(chunk.start[whole], start), join(chunk.count[whole], np.ones(len(start), np.int64)), join(chunk.doc[whole], np.repeat(chunk.doc[hot], n)), join(chunk.hash[whole], deal), join(chunk.name[whole], deal), self.buckets)
+
+    # 2: chunk -> bucket: distinct runs
     def send(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([], [], [])
-        chunk = _chunk(table)
-        runs, popular = self._selected(chunk, answers)
-        _, rep, least = self._distinct(chunk, runs)
-        order, parts = by_bucket(bucket_of(chunk.name[rep], self.buckets))
-        _, _, _, (h0, h1), w_least = self._windows(chunk, popular)
-        w_order, w_parts = by_bucket(bucket_of(h0, self.buckets))
-        mine, ranges, w_ranges = table.column("chunk")[0].as_py(), {b: (x, y) for b, x, y in parts}, {b: (x, y) for b, x, y in w_parts}
-        to = sorted(ranges.keys() | w_ranges.keys())
+        got = self._pieces(_chunk(table), answers)
         out = []
-        for b in to:
-            i, j = order[slice(*ranges.get(b, (0, 0)))], w_order[slice(*w_ranges.get(b, (0, 0)))]
-            count = chunk.count[rep[i]]
-            rows = chunk.bytes_of(chunk.start[rep[i]], count)
-            inside = np.arange(WIDTH) < (count + WINDOW - 1)[:, None]
-            out.append(pack(c=count.astype(np.uint8), d=least[i], r=rows[inside], a=h0[j], b=h1[j], e=w_least[j]))
-        return _rows(to, [mine] * len(to), out)
-
-    # 2 and 3: bucket -> chunk: verdicts in the order they were sent
+        for _, x, y in got.parts:
+            i = got.order[x:y]
+            count = got.count[got.rep[i]]
+            rows = got.chunk.bytes_of(got.start[got.rep[i]], count)
+            out.append(pack(c=count.astype(np.uint8), d=got.least[i], r=rows[np.arange(WIDTH) < (count + WINDOW - 1)[:, None]]))
+        return _rows([b for b, *_ in got.parts], [table.column("chunk")[0].as_py()] * len(out), out)
+
+    # 2: bucket -> chunk: verdicts in the order they were sent
     def decide(self, table: pa.Table) -> pa.Table:
-        got = [unpack(x.as_py(), c=np.uint8, d=np.int64, r=np.uint8, a=U, b=U, e=np.int64) for x in table.column("data")]
-        count, doc, raw, h0, h1, w_doc = (np.concatenate(x) for x in zip(*got))
+        got = [unpack(x.as_py(), c=np.uint8, d=np.int64, r=np.uint8) for x in table.column("data")]
+        count, doc, raw = (np.concatenate(x) for x in zip(*got))
         count = count.astype(np.int64)
         rows = np.zeros((len(count), WIDTH), np.uint8)
         rows[np.arange(WIDTH) < (count + WINDOW - 1)[:, None]] = raw
         least, bits = judge(count, doc, rows)
-        order = np.lexsort((h1, h0))
-        new = np.ones(len(order), bool)
-        new[1:] = (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])
-        cls = np.empty(len(order), np.int64)
-        cls[order] = np.cumsum(new) - 1
-        w_least = least_of(cls, w_doc, int(new.sum()))[cls]
-        mine, out, x, y = table.column("to")[0].as_py(), [], 0, 0
+        out, x = [], 0
         for g in got:
-            out.append(pack(l=least[x : x + len(g[0])], m=bits[x : x + len(g[0])], w=w_least[y : y + len(g[3])]))
-            x, y = x + len(g[0]), y + len(g[3])
-        return _rows(table.column("back").to_pylist(), [mine] * len(got), out)
+            out.append(pack(l=least[x : x + len(g[0])], m=bits[x : x + len(g[0])]))
+            x += len(g[0])
+        return _rows(table.column("back").to_pylist(), [table.column("to")[0].as_py()] * len(got), out)
 
-    # 4: chunk: cut
+    # 3: chunk: cut
     def cut(self, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64())], ["doc_id", "starts", "ends", "kept", "n_bytes"])
         chunk = _chunk(table)
         first, second = answers.filter(pc.equal(answers["step"], 1)), answers.filter(pc.equal(answers["step"], 2))
-        runs, popular = self._selected(chunk, first)
-        cls, rep, _ = self._distinct(chunk, runs)
-        order, parts = by_bucket(bucket_of(chunk.name[rep], self.buckets))
-        start, doc, w_cls, (h0, _), _ = self._windows(chunk, popular)
-        w_order, w_parts = by_bucket(bucket_of(h0, self.buckets))
-        least, bits, w_least = np.full(len(rep), LAST), np.zeros(len(rep), np.uint32), np.full(len(h0), LAST)
-        said = {b: unpack(x.as_py(), l=np.int64, m=np.uint32, w=np.int64) for b, x in zip(second.column("back").to_pylist(), second.column("data"))}
-        for b, x, y in parts:
-            least[order[x:y]], bits[order[x:y]] = said[b][0], said[b][1]
-        for b, x, y in w_parts:
-            w_least[w_order[x:y]] = said[b][2]
+        got = self._pieces(chunk, first)
+        least, bits = np.full(len(got.rep), LAST), np.zeros(len(got.rep), np.uint32)
+        said = {b: unpack(x.as_py(), l=np.int64, m=np.uint32) for b, x in zip(second.column("back").to_pylist(), second.column("data"))}
+        for b, x, y in got.parts:
+            least[got.order[x:y]], bits[got.order[x:y]] = said[b]
         edge = np.zeros(len(chunk.data) + 1, np.int32)
-        whole = runs[least[cls] < chunk.doc[runs]]
-        np.add.at(edge, chunk.start[whole], 1)
-        np.add.at(edge, chunk.start[whole] + chunk.count[whole] + WINDOW - 1, -1)
-        own = np.flatnonzero((least[cls] == chunk.doc[runs]) & (bits[cls] != 0))
+        whole = np.flatnonzero(least[got.cls] < got.doc)
+        np.add.at(edge, got.start[whole], 1)
+        np.add.at(edge, got.start[whole] + got.count[whole] + WINDOW - 1, -1)
+        own = np.flatnonzero((least[got.cls] == got.doc) & (bits[got.cls] != 0))
         for k in range(SPAN):
-            hit = chunk.start[runs[own[bits[cls[own]] >> np.uint32(k) & np.uint32(1) == 1]]] + k
+            hit = got.start[own[bits[got.cls[own]] >> np.uint32(k) & np.uint32(1) == 1]] + k
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + WINDOW, -1)
-        hit = start[w_least[w_cls] < doc]
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + WINDOW, -1)
         gone = np.cumsum(edge[:-1]) > 0
         starts, ends, kept, a = [], [], [], 0
         for b in chunk.ends:
@@ -491,8 +455,36 @@ class Plan:
             ends.append(step[1::2])
             kept.append(chunk.data[a:b][~mask].tobytes() if len(step) else chunk.data[a:b].tobytes())
             a = b
-        sizes = np.diff(np.concatenate([[0], chunk.ends]))
-        return pa.table([pa.array([None if i == LAST else int(i) for i in chunk.ids], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "starts", "ends", "kept", "n_bytes"])
+        sizes, n = np.diff(np.concatenate([[0], chunk.ends])), len(chunk.ids) - chunk.nameless
+        ids = [int(i) if k < n else None for k, i in enumerate(chunk.ids)]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "starts", "ends", "kept", "n_bytes"])
+
+
+class Pieces:
+    """Runs of a chunk to judge. cls is the class of equal bytes of each, rep a run of each class, least the least
+    doc_id that has it; order and parts say which classes go to which bucket. Hashes propose classes, bytes confirm them."""
+
+    def __init__(self, chunk: Chunk, start: np.ndarray, count: np.ndarray, doc: np.ndarray, run: np.ndarray, deal: np.ndarray, buckets: int):
+        self.chunk, self.start, self.count, self.doc = chunk, start, count, doc
+        order = np.argsort(run, kind="stable")
+        new = np.ones(len(run), bool)
+        new[1:] = run[order][1:] != run[order][:-1]
+        self.cls = np.empty(len(run), np.int64)
+        self.cls[order] = np.cumsum(new) - 1
+        self.rep = order[new]
+        several = np.flatnonzero(self.rep[self.cls] != np.arange(len(run)))
+        alone = [some[self._differ(some)] for some in (several[a : a + (1 << 16)] for a in range(0, len(several), 1 << 16))]
+        alone = np.concatenate(alone) if alone else several
+        if len(alone):  # hashes that collide: each such run is a class of its own
+            self.cls[alone] = len(self.rep) + np.arange(len(alone))
+            self.rep = np.concatenate([self.rep, alone])
+        self.least = least_of(self.cls, doc, len(self.rep))
+        self.order, self.parts = by_bucket(bucket_of(deal[self.rep], buckets))
+
+    def _differ(self, some: np.ndarray) -> np.ndarray:
+        other = self.rep[self.cls[some]]
+        a, b = (self.chunk.bytes_of(self.start[i], self.count[i]) for i in (some, other))
+        return (self.count[some] != self.count[other]) | (a != b).any(axis=1)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -501,12 +493,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; strings are those
     of the input. Texts are UTF-8 bytes, null counts as empty, and matches never cross documents. Rows that
-    share a doc_id never remove from each other; a null doc_id is later than all others. No rows give none.
+    share a doc_id never remove from each other; a null doc_id is as late as the greatest long. No rows give none.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, -(-total // CHUNK))
     plan = Plan(buckets, min(8, max(4, math.ceil((math.log2(total + 2) + 8) / 8))))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("chunk"), "doc_id", "text")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("chunk"), "doc_id", "text")
     chunks = dealt.groupBy("chunk")
     report, count, decide = (lambda t: plan.report(t)), (lambda t: plan.count(t)), (lambda t: plan.decide(t))
     send, cut = (lambda t, answers: plan.send(t, answers)), (lambda t, answers: plan.cut(t, answers))
