@@ -21,11 +21,6 @@ def slow_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def slow_shapes(text):
-    shape = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c in "0123456789" else c for c in text or "")
-    return [re.sub(r"0+", "0", re.sub(r"A+", "A", re.sub(r"a+", "a", w))) for w in SPLIT.findall(shape)]
-
-
 def texts():
     r = random.Random(6)
     vocabulary = ["the", "cat", "Sat", "mat", "x#", "|", "dog.", "é", "12", "ROW!!"]
@@ -36,27 +31,28 @@ def texts():
 def test_counts_and_ratio_match_brute_force(spark):
     data = rows(texts()) + [(4, "same id", None, None, None), (None, "no id", None, None, None)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (41, None, None), (999, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
-    df = docs(spark, data).withColumnRenamed("n_chars", "_words2")
+    df = docs(spark, data).withColumnRenamed("n_chars", "bucket").withColumns({"kept": F.lit("clash"), "llr": F.lit("clash"), "good": F.lit(1), "quality": F.lit(9)})
     got = q.judge(df, labels).collect()
     assert len(got) == len(data)
-    # The hash of a pair of shapes is taken from Spark; what is counted and summed is plain Python.
-    pairs = sorted({p for _, t, *_ in data for p in zip([" ", *slow_shapes(t)], slow_shapes(t))})
-    hashed = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(q.BUCKETS)).alias("h")).collect()
-    bucket = {(r.a, r.b): r.h for r in hashed}
+    # The hashes are taken from Spark; what is counted and summed is plain Python.
+    words = sorted({w for _, t, *_ in data for w in SPLIT.findall(t or "")})
+    one = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    both = lambda t: [(one.get(a, 0), one[b]) for w in [SPLIT.findall(t or "")] for a, b in zip([None, *w], w)]
+    two = spark.createDataFrame(sorted({p for _, t, *_ in data for p in both(t)}), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h"))
+    two = {(r.a, r.b): r.h for r in two.collect()}
+    grams = lambda t: [h % q.BUCKETS for h in [*(one[w] for w in SPLIT.findall(t or "")), *(two[p] for p in both(t))]]
     raw, good = Counter(), Counter()
     trusted = {i for i in range(40) if i % 2} | {1, 999}
     for d, t, *_ in data:
-        found = [bucket[p] for p in zip([" ", *slow_shapes(t)], slow_shapes(t))]
-        raw.update(found)
+        raw.update(grams(t))
         if d in trusted:
-            good.update(found)
+            good.update(grams(t))
     import math
 
     def llr(t):
-        found = [bucket[p] for p in zip([" ", *slow_shapes(t)], slow_shapes(t))]
         n, m = sum(raw.values()), sum(good.values())
-        share = {b: raw[b] / n for b in found}
-        return sum(math.log((good[b] + q.PRIOR * share[b]) / (m + q.PRIOR)) - math.log(share[b]) for b in found) / len(found) if found else 0.0
+        share = {b: raw[b] / n for b in grams(t)}
+        return sum(math.log((good[b] + q.PRIOR * share[b]) / (m + q.PRIOR)) - math.log(share[b]) for b in grams(t)) / len(grams(t)) if grams(t) else 0.0
 
     want = []
     for d, t, *_ in data:
@@ -70,6 +66,16 @@ def test_counts_and_ratio_match_brute_force(spark):
     assert where_computed(q.judge(df, labels), F.col("kept")).count() == sum(r[-2] for r in want)
 
 
+def test_vocabulary_decides(spark):
+    """Documents of the same shapes differ in their words alone."""
+    r = random.Random(2)
+    say = lambda stem: " ".join(stem + r.choice("abcdefghijklmnopqrst") + r.choice("uvwxyz") for _ in range(400))
+    df = docs(spark, [(i, say("lorem" if i % 4 else "junko"), None, None, None) for i in range(400)])
+    labels = df.where("doc_id % 4 > 0 and doc_id % 3 = 0").selectExpr("doc_id", "1 as quality")
+    got = q.judge(df, labels).collect()
+    assert all(x.kept == bool(x.doc_id % 4) and not x.base_failed for x in got)
+
+
 def test_nothing_to_trust_and_empty_table(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

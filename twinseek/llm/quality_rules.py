@@ -1,9 +1,8 @@
 """Quality rules: counts per document and a hashed n-gram log-likelihood ratio.
 
-Words are reduced to shapes (runs of small letters, capitals and digits become one sign each) and pairs of
-neighbouring shapes are hashed into buckets. Two multinomials over the buckets are estimated, one from
-trusted documents and one from the whole raw corpus; a document's score is the log-likelihood ratio between
-them divided by its number of n-grams, and a fixed threshold decides. Only DataFrame functions are used.
+Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets are estimated,
+one from trusted documents and one from the whole raw corpus; a document's score is the log-likelihood ratio
+between them divided by its number of n-grams, and a fixed threshold decides. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -19,9 +18,10 @@ BUCKETS = 1 << 14
 #: Trusted documents of the target multinomial, at most; the first by hash of doc_id. The raw corpus has no bound.
 TRUSTED_ROWS = 5000
 #: Mean log-likelihood ratio below which a document is rejected.
-THRESHOLD = -0.5
-#: Pseudo-counts of the target multinomial, spread as the raw corpus is, so that a small target is not biased.
-PRIOR = 100.0
+THRESHOLD = -0.08
+#: Pseudo-counts of the target multinomial, spread as the raw corpus is: a bucket that few trusted documents could
+#: have reached says little, so clean documents are not rejected for words of their own.
+PRIOR = 20.0 * BUCKETS
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r"
 
@@ -64,13 +64,11 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 
 def with_buckets(docs: DataFrame) -> DataFrame:
-    """docs(text) with _ngrams: the bucket of every pair of neighbouring shapes, the first after a start mark."""
-    shape = F.coalesce("text", F.lit(""))
-    for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[0-9]+", "0")):
-        shape = F.regexp_replace(shape, pattern, sign)
-    out = docs.withColumn("_shapes", words_of(shape))
-    pairs = F.zip_with(F.concat(F.array(F.lit(" ")), F.col("_shapes")), "_shapes", lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return out.withColumn("_ngrams", F.slice(pairs, F.lit(1), F.size("_shapes"))).drop("_shapes")
+    """docs(text) with _ngrams: the buckets of every word, then of every pair of neighbours, the first after a start mark."""
+    out = docs.withColumn("_hashes", F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)))
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    pairs = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.col("_hashes")), "_hashes", lambda a, b: bucket(F.xxhash64(a, b)))
+    return out.withColumn("_ngrams", F.concat(F.transform("_hashes", bucket), F.slice(pairs, F.lit(1), F.size("_hashes")))).drop("_hashes")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
