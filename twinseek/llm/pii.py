@@ -1,8 +1,8 @@
 """PII by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
 Base spans follow fixed rules and always stay. Further candidates of the same kinds (mail addresses written
-out, numbers with other separators or without a plus sign, addresses with a port, numbers that fail a check)
-are voted on by regex, gazetteer and context labelers, together with the base spans. Per kind, EM over the
+out, numbers with other separators or without a plus sign) and of one more, secrets (keys, tokens, passwords: long
+strings of letters and digits), are voted on by regex, gazetteer and context labelers, together with the base spans. Per kind, EM over the
 table of vote patterns estimates how often each labeler is right and how likely each pattern is personal
 data; a logistic classifier over votes and shape features is then fitted to those likelihoods and scores
 every candidate. Vote patterns are counted by Spark; the table has at most KINDS * 3^LABELERS * SHAPES rows
@@ -16,9 +16,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running_starts
+from .common import Scratch, let, running_starts
 
+#: Kinds with base rules, and all kinds.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 #: A candidate that is not a base span joins if the classifier is at least this sure.
 CERTAIN = 0.9
 CONTEXT = 48  # code points looked at on either side
@@ -33,26 +35,30 @@ BASE = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}  # without this sign a text has no match
 
-# Wider candidates of the same kinds.
+# Further candidates.
 WIDE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63}+){1,8}+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?<![0-9][ ._/-])[0-9]{4}+(?:[._/ -][0-9]{4}){3}(?![ ._/-]?[0-9])",
     "phone": r"(?<![0-9+])(?<![0-9][ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![ .-]?[0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+.@-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+={0,2}+(?![A-Za-z0-9_@])",
 }
-WIDE_NEEDS = {"email": "[\\[(]", "ip": ":", "card": "[0-9]{4}[._/ -][0-9]{4}", "phone": "[0-9]{3}[ .-][0-9]{4}"}
+WIDE_NEEDS = {"email": "[\\[(]", "ip": ":", "card": "[0-9]{4}[._/ -][0-9]{4}", "phone": "[0-9]{3}[ .-][0-9]{4}", "secret": "(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16}"}
 
-# Gazetteers (top-level domains, first digits of payment cards, country calling codes, cue words).
+# Gazetteers (top-level domains, first digits of payment cards, country calling codes, heads of keys, cue words).
 TOP_LEVEL = "com org net edu gov mil int info biz io co de fr es uk eu us ca au jp cn in it nl ch"
 CARD_PREFIX = "^(?:4|5[1-5]|2[2-7]|3[47]|36|38|6011|65|35)"
 CALLING = "^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+KEY_HEADS = "^(?:sk[-_]|pk[-_]|rk[-_]|gh[opsu]_|glpat-|xox[abp]-|AKIA|ASIA|AIza|eyJ)"
 CUES = {
     "email": "mail contact write reach address correo courriel kontakt adresse",
     "ip": "ip host server address login from client adresse serveur",
     "card": "card visa mastercard amex credit payment karte carte tarjeta",
     "phone": "phone tel call mobile fax cell telefon telefono appeler anruf",
+    "secret": "token secret passwor passwd pwd api.?key access.?key private.?key key bearer auth credential",
 }
 COUNTER_CUES = "version release isbn issn doi order invoice license licence section chapter page build"
+SECRET_COUNTER_CUES = "sha[0-9] md5 checksum digest commit revision uuid http www file path"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -103,7 +109,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"_raw_{kind}", F.when(has, found(text, BASE[kind])).otherwise(none))
         out = out.withColumn(f"base_{kind}", F.filter(f"_raw_{kind}", passing(kind))).drop(f"_raw_{kind}")
     out = out.withColumn("_taken", F.concat(*(f"base_{k}" for k in KINDS)))
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         spans = F.when(text.rlike(WIDE_NEEDS[kind]), found(text, WIDE[kind])).otherwise(none)
         out = out.withColumn(f"wide_{kind}", let(F.col("_taken"), free_of(spans))).withColumn("_taken", F.concat("_taken", f"wide_{kind}"))
     return out.drop("_taken")
@@ -114,6 +120,15 @@ def votes(kind: str, value: Column, before: Column, after: Column) -> tuple[Colu
     say = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
     number = digits(value)
     words = lambda cues: rf"(?i)(?<![\p{{L}}])(?:{cues.replace(' ', '|')})"
+    if kind == "secret":
+        signs = F.size(F.array_distinct(F.split(value, "")))
+        return (
+            say(value.rlike(r"^(?=[^a-z]*+[a-z])(?=[^A-Z]*+[A-Z])(?=[^0-9]*+[0-9])"), value.rlike(r"^[A-Za-z]+[-_/]?[0-9]{1,4}$|[-_/][a-z]+[-_/][a-z]+[-_/]")),
+            say(value.rlike(KEY_HEADS), value.rlike(r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-|[0-9-]+[A-Za-z]$)")),
+            say(signs >= 11, signs <= 6),
+            say(before.rlike(words(CUES[kind]) + r"[\p{L}_-]*+[\s\"'=:>(]*+$"), before.rlike(words(SECRET_COUNTER_CUES))),
+            say(before.rlike(r"[=:]\s?[\"']?$|[\"'`]$"), before.rlike(r"[\p{L}0-9_/]$|[a-z]\s$")),
+        )
     regex = say(value.rlike(rf"^(?:{BASE[kind]})$") & valid(kind, value), ~valid(kind, value) if kind != "email" else None)
     if kind == "email":
         gazetteer = say(F.lower(value).rlike(rf"(?:\.|dot[\])] ?)(?:{TOP_LEVEL.replace(' ', '|')})$"), ~value.rlike(r"[.\])] ?[A-Za-z]{2,}$"))
@@ -150,8 +165,9 @@ def candidate(kind: str, origin: str):
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """docs(text) with candidates: array of (kind, start, end, base, votes as text, shape as text)."""
-    parts = [F.transform(f"{origin}_{kind}", candidate(kind, origin)) for kind in KINDS for origin in ("base", "wide")]
-    return with_spans(docs).withColumn("candidates", F.concat(*parts)).drop(*(f"{o}_{k}" for o in ("base", "wide") for k in KINDS))
+    origins = [(origin, kind) for kind in ALL_KINDS for origin in ("base", "wide") if origin == "wide" or kind in KINDS]
+    parts = [F.transform(f"{origin}_{kind}", candidate(kind, origin)) for origin, kind in origins]
+    return with_spans(docs).withColumn("candidates", F.concat(*parts)).drop(*(f"{origin}_{kind}" for origin, kind in origins))
 
 
 def sigmoid(x: float) -> float:
@@ -214,15 +230,17 @@ def learn(candidates: DataFrame) -> dict[str, list[float]]:
     return out
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs(text, ...) with base and spans, arrays of (kind, start, end, score) by kind as listed and start.
 
     base holds the spans of the fixed rules; spans holds these and the candidates the classifier is CERTAIN
     of. Positions are code points, end exclusive. Null texts are empty and have no spans. All rows stay, and
-    rows that repeat are judged alike. The classifier is learned from all rows of docs.
+    rows that repeat are judged alike. The classifier is learned from all rows of docs. Texts are searched once:
+    rows with their candidates, and without the text unless keep_text, are an intermediate table.
     """
     seen = with_candidates(docs)
-    weights = learn(with_candidates(docs.select("text")))
+    seen = Scratch(docs.sparkSession).keep(seen if keep_text else seen.drop("text"))
+    weights = learn(seen)
 
     def sure(c: Column) -> Column:
         vote = F.split(c["votes"], ",")
@@ -232,7 +250,7 @@ def detect(docs: DataFrame) -> DataFrame:
             out = F.when(c["kind"] == kind, 1 / (1 + F.exp(-sum((a * b for a, b in zip(map(F.lit, w), x)), F.lit(0.0))))).otherwise(out)
         return out
 
-    scored = F.transform("candidates", lambda c: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), F.when(c["base"], 1.0).otherwise(sure(c)).alias("score")))
+    scored = F.transform("candidates", lambda c: F.struct(F.array_position(F.array(*map(F.lit, ALL_KINDS)), c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), F.when(c["base"], 1.0).otherwise(sure(c)).alias("score")))
     out = seen.withColumn("_scored", F.sort_array(scored)).drop("candidates")
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"))
     return out.withColumns(

@@ -14,7 +14,7 @@ def fold(doc_id, n):
 
 
 def op1_weak_labels(spark, sf_dir):
-    found = pii.detect(documents(spark, sf_dir))
+    found = pii.detect(documents(spark, sf_dir), keep_text=False)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
