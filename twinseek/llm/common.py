@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a folder of this machine is made and set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where that is unset a folder of
+    this machine is made and set, but only for a local master; on a cluster other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_twinseek_shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark._twinseek_shared = tempfile.mkdtemp(prefix="twinseek-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,8 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage, survive lost executors and can be dropped."""
 
+    #: Where collected() gathers the scratches made inside it.
+    _gathering: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/twinseek-{uuid.uuid4().hex}", 0
+        for made in Scratch._gathering:
+            made.append(self)
+
+    @staticmethod
+    @contextmanager
+    def collected(made: list[Scratch]):
+        """Adds every scratch that is made meanwhile to the list, so that clear() can remove it once its results are written."""
+        Scratch._gathering.append(made)
+        try:
+            yield made
+        finally:
+            Scratch._gathering.remove(made)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,9 +65,15 @@ class Scratch:
         return kept
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._twinseek_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._twinseek_path)
+
+    def clear(self) -> None:
+        """Removes all tables."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def n_words(text: Column) -> Column:

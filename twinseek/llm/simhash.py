@@ -162,17 +162,19 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
 
     signed = scratch.keep(docs.mapInArrow(sign, schema).withColumn("_rid", F.monotonically_increasing_id()))
     bucket = Window.partitionBy("band").orderBy("fp")
-    each = signed.groupBy(F.col("_fp").alias("fp"), F.col("_n").alias("n")).agg(F.first("_bands").alias("bands")).select("fp", "n", F.explode("bands").alias("band"))
+    posts = scratch.keep(signed.groupBy(F.col("_fp").alias("fp"), F.col("_n").alias("n")).agg(F.first("_bands").alias("bands")).select("fp", "n", F.explode("bands").alias("band")))
     before = F.array(*(F.struct(F.lag("fp", k).over(bucket).alias("u"), F.lag("n", k).over(bucket).alias("m")) for k in range(1, NEIGHBOURS + 1)))
-    posts = scratch.keep(each)
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m)
-    near = posts.select("fp", "n", before.alias("before")).select("fp", "n", F.posexplode("before").alias("nth", "b")).where(F.col("b.u").isNotNull() & fits(F.col("n"), F.col("b.m")))
-    near = scratch.keep(near.groupBy(F.col("b.u").alias("u"), F.col("fp").alias("v")).agg(F.min("nth").alias("nth")))
+    near = posts.select("fp", "n", before.alias("before")).select("fp", "n", F.posexplode("before").alias("nth", "b")).where("b.u is not null")
+    near = scratch.keep(near.groupBy(F.col("b.u").alias("u"), F.col("fp").alias("v")).agg(F.min("nth").alias("nth"), F.first(fits(F.col("n"), F.col("b.m"))).alias("fits")))
+    # One row of each text that has a neighbour. By the row's number, so that many copies of a text are no hot key, and
+    # always a merge join: the plan is then the same at every size.
+    ends = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    rows = signed.groupBy(F.col("_fp").alias("fp")).agg(F.min("_rid").alias("rid")).join(ends, "fp").select("rid")
+    texts = scratch.keep(signed.select(F.col("_fp").alias("fp"), "text", "_rid").join(rows.hint("merge"), F.col("_rid") == F.col("rid")).select("fp", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("_fp")).distinct()
-        texts = scratch.keep(signed.select("_fp", "text").join(needed, "_fp", "left_semi").groupBy(F.col("_fp").alias("fp")).agg(F.first("text").alias("text")))
-        end = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))
+        end = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
         return scratch.keep(pairs.select("u", "v").join(end("u"), "u").join(end("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -180,11 +182,14 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
         return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
     # Direct predecessors first. They join most of a large group, so that few of the other pairs need their texts.
-    roots = components(verified(near.where("nth = 0")), scratch)
-    for rest in (lambda: apart(near.where("nth > 0"), roots), lambda: _across(posts, near, roots, fits)):
+    fitting = near.where("fits")
+    roots = components(verified(fitting.where("nth = 0")), scratch)
+    for rest in (lambda: apart(fitting.where("nth > 0"), roots), lambda: _across(posts, near, roots, fits)):
         pairs = scratch.keep(rest())
         if not pairs.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(verified(pairs)), scratch)
+    for done in (posts, near, texts):
+        scratch.drop(done)
     return signed.drop("_n", "_bands"), roots
 
 
