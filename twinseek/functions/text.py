@@ -14,9 +14,9 @@ from ..schemas import PROFICIENCY
 
 # The English stop words of the lexical channel.
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-# Country aliases, and words that make a query ask for openings.
+# Country aliases, and what a query holds that asks for openings (plurals hold their singular).
 COUNTRY_ALIASES = {"USA": "United States", "United States of America": "United States", "UK": "United Kingdom", "Britain": "United Kingdom"}
-JOB_WORDS = ("job", "jobs", "role", "roles", "position", "positions", "opening", "openings", "vacancy", "vacancies")
+JOB_WORDS = ("role", "position", "opening", "vacancy", "vacancies", "job")
 
 
 def service_slug(c: Column) -> Column:
@@ -67,7 +67,7 @@ def proficiency_skills(c: Column) -> Column:
     """'name (Label), ...' as array<struct<name, label, ordinal>>; commas inside parentheses do not part, and a
     chunk without a known label is a Beginner's."""
     chunks = F.filter(F.transform(F.split(c, r",(?![^(]*\))"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    pattern = rf"^(.+?)\s*\(({'|'.join(PROFICIENCY)})\)$"
+    pattern = rf"^(.+?)\s*\(\s*({'|'.join(PROFICIENCY)})\s*\)$"
 
     def parse(x: Column) -> Column:
         known = x.rlike(pattern)

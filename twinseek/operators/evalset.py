@@ -66,6 +66,29 @@ def judge_jobs(queries: DataFrame, edges: DataFrame, titles: DataFrame, threshol
     return named.where((F.col("rel") == 2) | contains_either(F.col("_a"), F.col("_b"))).select("qid", "doc_id", "rel")
 
 
+#: Words whose hash brings a text and a passage together: those after a passage's first, which may be cut.
+KEY_WORDS = 5
+
+
+def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where texts(doc_id, text) hold the whole text of passages(item_id, text).
+
+    Texts and passages meet over the hash of KEY_WORDS words inside the passage, and the whole passage is looked
+    for only then. Passages of fewer words are looked for in every text.
+    """
+    words = F.split("text", r"\s+")
+    key = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, KEY_WORDS), " "))
+    long = passages.where(F.size(words) >= KEY_WORDS + 2).select("item_id", F.col("text").alias("_p"), key(words, F.lit(2)).alias("_k"))
+    n = F.size("_w")
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - KEY_WORDS + 1, F.lit(1))), lambda i: key(F.col("_w"), i)))
+    each = texts.withColumn("_w", words).select("doc_id", F.explode(keys).alias("_k"))
+    near = each.join(long.select("item_id", "_k"), "_k").select("doc_id", "item_id").distinct()
+    found = near.join(long.select("item_id", "_p"), "item_id").join(texts, "doc_id").where(F.contains(F.col("text"), F.col("_p")))
+    short = passages.where(F.size(words) < KEY_WORDS + 2).select("item_id", F.col("text").alias("_p"))
+    everywhere = texts.join(short, F.contains(F.col("text"), F.col("_p")))
+    return found.select("doc_id", "item_id").union(everywhere.select("doc_id", "item_id")).distinct()
+
+
 def inherit(paraphrases: DataFrame, qrels: DataFrame) -> DataFrame:
     """Judgements of paraphrases(qid, source_qid): those of their sources."""
     return paraphrases.join(qrels.withColumnRenamed("qid", "source_qid"), "source_qid").select("qid", "doc_id", "rel")

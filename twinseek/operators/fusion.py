@@ -55,10 +55,11 @@ Scorer = Callable[[Column, Column], Column]
 
 
 def rerank(fused: DataFrame, queries: DataFrame, texts: DataFrame, head: int = 25, scorer: Scorer = overlap_scorer, pad: bool = False) -> DataFrame:
-    """fused with rerank and the new rank. The first `head` are ordered by the scorer, the others keep theirs.
+    """fused with rerank and the new rank. The first `head` are ordered by the scorer, the others keep theirs; a
+    document without a text is scored on an empty one.
     With pad the others get minus their rank for a score, so that a run sorts right by score alone."""
-    top = fused.where(F.col("rank") <= head).join(queries.select("qid", F.col("text").alias("_q")), "qid").join(texts.select("doc_id", F.col("text").alias("_t")), "doc_id")
-    scored = top.withColumn("rerank", F.round(scorer(F.col("_q"), F.col("_t")), 9)).drop("_q", "_t")
+    top = fused.where(F.col("rank") <= head).join(queries.select("qid", F.col("text").alias("_q")), "qid").join(texts.select("doc_id", F.col("text").alias("_t")), "doc_id", "left")
+    scored = top.withColumn("rerank", F.round(scorer(F.col("_q"), F.coalesce("_t", F.lit(""))), 9)).drop("_q", "_t")
     rest = fused.where(F.col("rank") > head).withColumn("rerank", -F.col("rank").cast("double") if pad else F.lit(None).cast("double"))
     order = Window.partitionBy("qid").orderBy((F.col("old") <= head).desc(), F.when(F.col("old") <= head, F.col("rerank")).desc(), "old")
     return scored.unionByName(rest).withColumnRenamed("rank", "old").withColumn("rank", F.row_number().over(order)).drop("old")

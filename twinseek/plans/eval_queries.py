@@ -86,9 +86,9 @@ def eval_summary(spark, d):
     return metrics.best_per(rows, "stratum", "ndcg_10", "config").withColumn("meets_target", F.col("ndcg_10") >= 0.55)
 
 
-@query("select *, row_number() over (partition by o_orderpriority order by o_totalprice desc nulls last, o_orderkey) = 1 as is_best from (select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderkey < 500)")
+@query("select *, row_number() over (partition by o_orderpriority order by o_totalprice desc nulls last, o_orderkey) = 1 as is_best from (select o_orderkey, o_orderpriority, o_totalprice from orders)")
 def best_per_stratum(spark, d):
-    return metrics.best_per(table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", "o_orderkey")
+    return metrics.best_per(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", "o_orderkey")
 
 
 @query(f"with {V.JUDGEMENTS}, n as (select qid, count(*) as n from judgements group by 1) select case when substr(qid, 3)::int % 2 = 0 then 'candidate_search' else 'job_search' end as task, count(*) as queries, cast(sum(n) as bigint) as pairs, round(avg(n), 2) as mean_relevant from n group by 1")
@@ -123,6 +123,15 @@ def evalset_candidate(spark, d):
     return q.select("qid", "task", "text", "anchor_id", F.array_join("query_skills", "|").alias("skills"), "min_proficiency_ordinal", "anchor_skill_count")
 
 
+_JUDGED = f"with {_CAND}, {judge_sql('cands', 'has_skill', 'person_id', 2)}, all_ as (select qid, doc_id, 1 as rel from near union all select qid, person_id, 2 from cands) select qid, doc_id, max(rel) as rel from all_ group by 1, 2"
+
+
+@query(_JUDGED.replace("0.05", "0.5"))
+def evalset_candidate_judged(spark, d):
+    edges = V.has_skill(spark, d)
+    return evalset.judge(evalset.candidate_queries(edges), edges, "person_id")
+
+
 @query(f"with {_CAND}, {judge_sql('cands', 'has_skill', 'person_id', 2)}, all_ as (select qid, doc_id, 1 as rel from near union all select qid, person_id, 2 from cands) select qid, doc_id, max(rel) as rel from all_ group by 1, 2")
 def evalset_candidate_qrels(spark, d):
     edges = V.has_skill(spark, d)
@@ -142,10 +151,10 @@ def evalset_job(spark, d):
     return evalset.judge_jobs(evalset.job_queries(edges, titles), edges, titles)
 
 
-@query(f"with {V.JUDGEMENTS}, {V.TEXT_QUERIES}, p as (select concat(qid, '_p') as qid, qid as source_qid, lower(text) as text from text_queries where substr(qid, 3)::int < 10) select q.qid, q.text, null as source_qid, (select count(*) from judgements j where j.qid = q.qid) as n_rel from text_queries q union all select p.qid, p.text, p.source_qid, (select count(*) from judgements j where j.qid = p.source_qid) from p")
+@query(f"with {V.JUDGEMENTS}, {V.TEXT_QUERIES}, p as (select concat(qid, '_p') as qid, qid as source_qid, lower(text) as text from text_queries) select q.qid, q.text, null as source_qid, (select count(*) from judgements j where j.qid = q.qid) as n_rel from text_queries q union all select p.qid, p.text, p.source_qid, (select count(*) from judgements j where j.qid = p.source_qid) from p")
 def evalset_rewrite(spark, d):
     q, rels = V.text_queries(spark, d), V.judgements(spark, d)
-    p = q.where("cast(substring(qid, 3) as int) < 10").select(F.concat("qid", F.lit("_p")).alias("qid"), F.col("qid").alias("source_qid"), F.lower("text").alias("text"))
+    p = q.select(F.concat("qid", F.lit("_p")).alias("qid"), F.col("qid").alias("source_qid"), F.lower("text").alias("text"))
     old = q.where("cast(substring(qid, 3) as int) = 3").select(F.concat("qid", F.lit("_p")).alias("qid"), F.lit("stale").alias("text"))
     every = evalset.rewrite(q.union(old), p)
     n = rels.unionByName(evalset.inherit(p, rels)).groupBy("qid").agg(F.count("*").alias("n_rel"))
@@ -164,14 +173,26 @@ def trec_qrels(spark, d):
     return line.select("line", parts[0].alias("parsed_qid"), parts[3].cast("int").alias("parsed_rel"))
 
 
-@query(
+_LEADERS = (
     "with recursive v as (select row_number() over (order by vec_id) as i, vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), r as (select 0 as i, []::bigint[] as leaders, null::bigint as vec_id, null::bigint as centroid "
     "union all select r.i + 1, case when best is null then list_append(leaders, v.vec_id) else leaders end, v.vec_id, coalesce(best, v.vec_id) from r join v on v.i = r.i + 1 left join lateral (select arg_max(l.vec_id, (round(list_cosine_similarity(l.e, v.e), 9), -l.i)) as best from v l where list_contains(r.leaders, l.vec_id) and list_cosine_similarity(l.e, v.e) >= 0.4) on true) "
     "select vec_id as id, centroid from r where i > 0"
 )
+
+
+@query(_LEADERS)
 def leader_cluster(spark, d):
+    return clustered(spark, d, 0.4)
+
+
+def clustered(spark, d, least):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ord"))
-    return canonical.cluster(rows, 0.4).select("id", "centroid")
+    return canonical.cluster(rows, least).select("id", "centroid")
+
+
+@query(_LEADERS.replace(">= 0.4", ">= 0.92"))
+def leader_cluster_strict(spark, d):
+    return clustered(spark, d, canonical.CLUSTER_LEAST)
 
 
 @query(f"with {S.ALL}, {S.rrf_sql(S.THREE)} select qid, doc_id, round(fused * (0.7 + 0.075 * (1 + length(doc_id) % 5)), 6) as adjusted from fused where rank <= 25")
@@ -179,16 +200,28 @@ def x_prof_rerank(spark, d):
     return fusion.rrf(S.runs(spark, d)).where("rank <= 25").select("qid", "doc_id", F.round(F.col("fused") * (0.7 + 0.075 * (1 + F.length("doc_id") % 5)), 6).alias("adjusted"))
 
 
-@query("select q.vec_id as qid, c.vec_id as doc_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as score from embeddings q, embeddings c where q.vec_id < 40 and q.label <> c.label and list_cosine_similarity(q.embedding::double[], c.embedding::double[]) > 0.2 qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) desc, concat('doc_', c.vec_id)) <= 5")
+_SHARE = f"len(list_intersect(list_distinct({V.TOKENS.format('b.text')}), {V.TOKENS.format('t.text')}))::double / nullif(len(list_distinct({V.TOKENS.format('b.text')})), 0)"
+
+
+@query(
+    f"with {V.DENSE}, e as (select concat('doc_', vec_id) as doc_id, embedding::double[] as v, label from embeddings), r as (select qid, d.doc_id, score, d.rank, e.v, e.label = q.label as same from dense d join e using (doc_id) join e q on q.doc_id = concat('doc_', substr(qid, 3)) where d.doc_id <> q.doc_id), "
+    "p as (select qid, arg_min(doc_id, rank) as positive, min(rank) as p_rank, arg_min(v, rank) as pv from r where same group by 1), n as (select r.qid, r.doc_id, positive, score, rank from r join p using (qid) where rank < p_rank and 1 - list_cosine_similarity(v, pv) > 0.1) "
+    f"select n.qid, n.doc_id, positive, round(score, 6) as score from n join benchmark b on n.qid = concat('q_', b.item_id) left join documents t on n.doc_id = concat('doc_', t.doc_id) where 1 / (1 + exp(-(6 * coalesce({_SHARE}, 0) - 3))) <= 0.7"
+)
 def x_neg_mining(spark, d):
+    """Hard negatives: vectors nearer to the query than its best match of the same label, apart from that match by more
+    than 0.1, without those the pair scorer gives over 0.7."""
     from ..operators import vector
 
-    e = table(spark, d, "embeddings")
-    q = V.vector_queries(spark, d)
-    near = vector.search(V.vectors(spark, d).select("doc_id", "vec"), q.select("qid", "vec"), e.count())
-    named = near.join(q.select("qid", F.col("label").alias("ql")), "qid").join(V.vectors(spark, d).select("doc_id", F.col("label").alias("dl")), "doc_id").where("ql <> dl and score > 0.2")
-    best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc_id")
-    return named.withColumn("n", F.row_number().over(best)).where("n <= 5").select(F.substring("qid", 3, 9).cast("long").alias("qid"), F.substring("doc_id", 5, 9).cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+    e = V.vectors(spark, d)
+    labels = e.select("doc_id", F.col("label").alias("_l"))
+    own = labels.select(F.concat(F.lit("q_"), F.substring("doc_id", 5, 20)).alias("qid"), F.col("_l").alias("_ql"), F.col("doc_id").alias("_self"))
+    r = S.dense(spark, d).join(labels, "doc_id").join(own, "qid").where("doc_id <> _self")
+    best = r.where("_l = _ql").groupBy("qid").agg(F.min_by("doc_id", "rank").alias("positive"), F.min("rank").alias("_p"))
+    near = r.join(best, "qid").where("rank < _p").select("qid", "doc_id", "positive", "score")
+    pairs = near.join(e.select("doc_id", F.col("vec").alias("_v")), "doc_id").join(e.select(F.col("doc_id").alias("positive"), F.col("vec").alias("_pv")), "positive").where(1 - vector.cosine(F.col("_v"), F.col("_pv")) > 0.1)
+    said = pairs.join(V.text_queries(spark, d).select("qid", F.col("text").alias("_q")), "qid").join(V.texts(spark, d).select("doc_id", F.col("text").alias("_t")), "doc_id", "left")
+    return said.where(fusion.overlap_scorer(F.col("_q"), F.coalesce("_t", F.lit(""))) <= 0.7).select("qid", "doc_id", "positive", F.round("score", 6).alias("score"))
 
 
 @query("select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n, round(avg(value), 6) as mean from events group by all")
@@ -214,12 +247,12 @@ def x_session(spark, d):
 
 
 @query(
-    f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.HAS_SKILL}, {V.REQUIRES}, p as (select distinct person_id, skill_id from has_skill where proficiency >= 4 and cast(substr(person_id, 8) as int) % 20 = 0), j as (select distinct job_id, skill_id from requires_skill where cast(substr(job_id, 5) as int) % 40 = 0), np as (select person_id, count(*) as a from p group by 1), nj as (select job_id, count(*) as b from j group by 1), "
+    f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.HAS_SKILL}, {V.REQUIRES}, p as (select distinct person_id, skill_id from has_skill where proficiency >= 4), j as (select distinct job_id, skill_id from requires_skill), np as (select person_id, count(*) as a from p group by 1), nj as (select job_id, count(*) as b from j group by 1), "
     "s as (select person_id, job_id, count(*) as k from p join j using (skill_id) group by all) select person_id, job_id, round(k / (a + b - k), 6) as score from s join np using (person_id) join nj using (job_id) qualify row_number() over (partition by person_id order by round(k / (a + b - k), 9) desc, job_id) <= 5"
 )
 def x_matches(spark, d):
-    p = V.has_skill(spark, d).where("proficiency >= 4 and cast(substring(person_id, 8) as int) % 20 = 0").select("person_id", "skill_id").distinct()
-    j = V.requires_skill(spark, d).where("cast(substring(job_id, 5) as int) % 40 = 0").select("job_id", "skill_id").distinct()
+    p = V.has_skill(spark, d).where("proficiency >= 4").select("person_id", "skill_id").distinct()
+    j = V.requires_skill(spark, d).select("job_id", "skill_id").distinct()
     k = p.join(j, "skill_id").groupBy("person_id", "job_id").agg(F.count("*").alias("k"))
     both = k.join(p.groupBy("person_id").agg(F.count("*").alias("a")), "person_id").join(j.groupBy("job_id").agg(F.count("*").alias("b")), "job_id")
     s = both.withColumn("s", F.col("k") / (F.col("a") + F.col("b") - F.col("k")))

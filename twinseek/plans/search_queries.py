@@ -11,11 +11,11 @@ from . import views as V
 from .base import query
 
 
-@query(f"with {V.BM25} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf, round(avgdl, 6) as avgdl, n from dfs, corpus where df >= 5")
+@query(f"with {V.BM25} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf, round(avgdl, 6) as avgdl, n from dfs, corpus")
 def bm25_stats(spark, d):
     index = lexical.build(V.texts(spark, d))
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return index.terms.where("df >= 5").select("term", "df", F.round(idf, 6).alias("idf"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.lit(index.n).cast("long").alias("n"))
+    return index.terms.select("term", "df", F.round(idf, 6).alias("idf"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.lit(index.n).cast("long").alias("n"))
 
 
 def bm25(spark, d):
@@ -147,11 +147,11 @@ def mode_dense(spark, d):
 
 def rerank_sql(head: int, pad: bool) -> str:
     q, t = V.TOKENS.format("q.text"), V.TOKENS.format("d.text")
-    share = f"(case when len(list_distinct({q})) = 0 then 0.0 else len(list_intersect(list_distinct({q}), {t}))::double / len(list_distinct({q})) end)"
+    share = f"(case when len(list_distinct({q})) = 0 then 0.0 else coalesce(len(list_intersect(list_distinct({q}), {t})), 0)::double / len(list_distinct({q})) end)"
     rest = "-f.rank::double" if pad else "null"
     return (
         f"scored as (select f.qid, f.doc_id, f.rank as old, f.fused, case when f.rank <= {head} then round(1 / (1 + exp(-(6 * {share} - 3))), 9) else {rest} end as rerank from fused f join text_queries q using (qid) left join documents d on f.doc_id = concat('doc_', d.doc_id)), "
-        f"reranked as (select qid, doc_id, fused, rerank, old, cast(row_number() over (partition by qid order by old <= {head} desc, case when old <= {head} then rerank end desc, old) as integer) as rank from scored where old > {head} or doc_id in (select concat('doc_', doc_id) from documents))"
+        f"reranked as (select qid, doc_id, fused, rerank, old, cast(row_number() over (partition by qid order by old <= {head} desc, case when old <= {head} then rerank end desc, old) as integer) as rank from scored)"
     )
 
 

@@ -39,7 +39,7 @@ _LEVELS = "['Beginner','Advanced Beginner','Competent','Proficient','Expert']"
 )
 def parse_paren_list(spark, d):
     label = T.label_of((F.col("p_size") % 5 + 1).cast("int"))
-    raw = F.concat("p_brand", F.lit(" ("), "p_type", F.lit(", x) ("), label, F.lit("), "), "p_name", F.lit(" , "), "p_type", F.lit(" (expert),  "))
+    raw = F.concat("p_brand", F.lit(" ("), "p_type", F.lit(", x) ( "), label, F.lit(" ), "), "p_name", F.lit(" , "), "p_type", F.lit(" (expert),  "))
     each = table(spark, d, "part").select("p_partkey", F.posexplode(T.proficiency_skills(raw)).alias("n", "s"))
     return each.select("p_partkey", (F.col("n") + 1).alias("n"), "s.name", "s.label", "s.ordinal")
 
@@ -127,13 +127,14 @@ def tokenize(spark, d):
 
 
 @query(
-    "with q as (select item_id, [split_part(text, ' ', 1), upper(split_part(text, ' ', 2)), 'zzz'] as s from benchmark where item_id < 5), t as (select item_id, doc_id, array_to_string(list_filter(s, lambda x: contains(lower(text), lower(x))), '|') as m from documents, q where doc_id < 300) "
+    f"with {V.JUDGEMENTS}, q as (select item_id, [split_part(text, ' ', 1), upper(split_part(text, ' ', 2)), 'zzz'] as s from benchmark), t as (select item_id, d.doc_id, array_to_string(list_filter(s, lambda x: contains(lower(d.text), lower(x))), '|') as m from judgements j join q on j.qid = concat('q_', item_id) join documents d on j.doc_id = concat('doc_', d.doc_id)) "
     "select item_id, doc_id, case when item_id % 2 = 0 then m else '' end as matched from t"
 )
 def matched_skills(spark, d):
     w = lambda i: F.element_at(F.split("text", " "), F.lit(i))
-    q = table(spark, d, "benchmark").where("item_id < 5").select("item_id", F.array(w(1), F.upper(w(2)), F.lit("zzz")).alias("s"))
-    pairs = table(spark, d, "documents").where("doc_id < 300").select("doc_id", "text").join(F.broadcast(q))
+    q = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("q_"), "item_id").alias("qid"), F.array(w(1), F.upper(w(2)), F.lit("zzz")).alias("s"))
+    judged = V.judgements(spark, d).select("qid", F.substring("doc_id", 5, 20).cast("long").alias("doc_id"))
+    pairs = judged.join(q, "qid").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return pairs.select("item_id", "doc_id", F.array_join(T.matched_skills(F.col("s"), F.col("text"), F.col("item_id") % 2 == 0), "|").alias("matched"))
 
 

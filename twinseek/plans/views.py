@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evalset
 from .base import table
 
 
@@ -59,8 +60,8 @@ def texts(spark, d) -> DataFrame:
 
 
 def text_queries(spark, d) -> DataFrame:
-    """One query per benchmark item, its first 80 characters."""
-    return table(spark, d, "benchmark").select(F.concat(F.lit("q_"), "item_id").alias("qid"), F.substring("text", 1, 80).alias("text"))
+    """One query per benchmark item, its whole text."""
+    return table(spark, d, "benchmark").select(F.concat(F.lit("q_"), "item_id").alias("qid"), "text")
 
 
 def vectors(spark, d) -> DataFrame:
@@ -69,8 +70,9 @@ def vectors(spark, d) -> DataFrame:
 
 
 def vector_queries(spark, d) -> DataFrame:
-    """The first forty vectors, one per text query."""
-    return table(spark, d, "embeddings").where("vec_id < 40").select(F.concat(F.lit("q_"), "vec_id").alias("qid"), F.col("embedding").alias("vec"), "label")
+    """One vector per text query: that with the item's number."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return table(spark, d, "embeddings").join(items, "vec_id", "left_semi").select(F.concat(F.lit("q_"), "vec_id").alias("qid"), F.col("embedding").alias("vec"), "label")
 
 
 def skill_queries(spark, d) -> DataFrame:
@@ -81,11 +83,11 @@ def skill_queries(spark, d) -> DataFrame:
 
 
 def judgements(spark, d) -> DataFrame:
-    """(qid, doc_id, rel): documents that hold the first 60 characters of an item are worth 2; other labelled
-    documents of good quality are worth 1 to the query their number names."""
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    gold = table(spark, d, "documents").join(b, F.contains(F.col("text"), F.col("head"))).select(F.concat(F.lit("q_"), "item_id").alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(2).alias("rel"))
-    soft = table(spark, d, "labels").where("quality = 1 and toxic = 0").select(F.concat(F.lit("q_"), F.col("doc_id") % 40).alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(1).alias("rel"))
+    """(qid, doc_id, rel): documents that hold an item's text are worth 2; other labelled documents of good quality
+    are worth 1 to the query that their number names, modulo the number of items."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    gold = evalset.holding(table(spark, d, "documents").select("doc_id", "text"), b).select(F.concat(F.lit("q_"), "item_id").alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(2).alias("rel"))
+    soft = table(spark, d, "labels").where("quality = 1 and toxic = 0").select(F.concat(F.lit("q_"), F.col("doc_id") % max(1, b.count())).alias("qid"), F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.lit(1).alias("rel"))
     return gold.union(soft).groupBy("qid", "doc_id").agg(F.max("rel").alias("rel"))
 
 
@@ -102,14 +104,14 @@ JOBS = (
     "jobs as (select concat('job_', o_orderkey) as id, substr(o_orderpriority, 3) as designation, o_orderstatus as source, c_mktsegment as industry, n_name as city, r_name as country "
     "from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
 )
-TEXT_QUERIES = "text_queries as (select concat('q_', item_id) as qid, substr(text, 1, 80) as text from benchmark)"
+TEXT_QUERIES = "text_queries as (select concat('q_', item_id) as qid, text from benchmark)"
 SKILL_QUERIES = (
     "skill_queries as (select concat('q_', item_id) as qid, unnest([0, 1, 2, 3]) as pos, unnest([concat('Brand#', (item_id * 7) % 25 + 1, ' ECONOMY'), concat('Brand#', (item_id * 7 + 1) % 25 + 1, ' LARGE'), "
     "concat('Brand#', (item_id * 7 + 2) % 25 + 1, ' PROMO'), concat('Brand#', (item_id * 7) % 25 + 1, ' ECONOMY')]) as raw from benchmark)"
 )
 JUDGEMENTS = (
-    "judgements as (select qid, doc_id, max(rel) as rel from (select concat('q_', item_id) as qid, concat('doc_', doc_id) as doc_id, 2 as rel from documents d join benchmark b on contains(d.text, substr(b.text, 1, 60)) "
-    "union all select concat('q_', doc_id % 40), concat('doc_', doc_id), 1 from labels where quality = 1 and toxic = 0) group by all)"
+    "judgements as (select qid, doc_id, max(rel) as rel from (select concat('q_', item_id) as qid, concat('doc_', doc_id) as doc_id, 2 as rel from documents d join benchmark b on contains(d.text, b.text) "
+    "union all select concat('q_', doc_id % (select greatest(1, count(*)) from benchmark)), concat('doc_', doc_id), 1 from labels where quality = 1 and toxic = 0) group by all)"
 )
 STOP = "['a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with']"
 TOKENS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: not list_contains(" + STOP + ", w))"
@@ -126,7 +128,7 @@ BM25 = (
 DENSE = (
     "dense as (select concat('q_', q.vec_id) as qid, concat('doc_', c.vec_id) as doc_id, list_cosine_similarity(q.embedding::double[], c.embedding::double[]) as score, "
     "cast(row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) desc, concat('doc_', c.vec_id)) as integer) as rank "
-    "from embeddings q, embeddings c where q.vec_id < 40 qualify rank <= 100)"
+    "from embeddings q, embeddings c where q.vec_id in (select item_id from benchmark) qualify rank <= 100)"
 )
 CANON = f"canon_ids as (select distinct skill_id as legacy_id, concat('c-', skill_id) as canonical_id from skills), asked_ids as (select qid, pos, canonical_id as skill_id from skill_queries join canon_ids on {SLUG.format('raw')} = legacy_id)"
 KG = (

@@ -101,7 +101,7 @@ def postings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         "id", F.lit("jd_zip").alias("source"), "raw_id", "title", F.col("title").alias("designation"), "industry", "city", "country", F.lit(0).alias("experience_lower"), F.lit(0).alias("experience_upper"), F.col("duties").alias("responsibilities"),
         F.col("need.edu").alias("educational_qualifications"), "other_requirements", "raw_text", "enhanced_text", T.posting_text(F.col("title"), F.col("industry"), F.col("place"), F.col("duties"), F.col("p"), F.col("s"), F.col("other_requirements")).alias("canonical_text"),
     )
-    return jobs, _job_skills(base, (("p", "must_have", "must_have", "jd_must"), ("s", "good_to_have", "good_to_have", "jd_good")))
+    return jobs, _job_skills(base, (("p", "must_have", "must_have", "jd_must"), ("s", "good_to_have", "good_to_have", "jd_nice")))
 
 
 def register(tables: dict[str, DataFrame], path: str) -> DataFrame:
