@@ -164,6 +164,13 @@ def test_engine(spark):
         assert got[0]["entity"]["matched_skills"] == ["Python"]
     assert engine.profile("person_0")["skills"][0]["skill_name"] == "Python" and engine.profile("nobody") is None
     assert [e["type"] for e in engine.search_events("find python", mode="bm25")] == ["intent", "stage_start", "stage_done", "results", "done"]
+    stages = [(e["type"], e.get("stage")) for e in engine.search_events("find python", side="candidates", query_skills=["Python"])]
+    assert stages == [("intent", None), ("stage_start", "all"), *(("stage_done", s) for s in ("bm25", "dense", "kg", "rrf", "rerank")), ("results", None), ("done", None)]
+    assert [e["results"] for e in engine.search_events("find python", side="candidates") if e["type"] == "results"][0] == engine.search("find python", "candidates")
+    with pytest.raises(ValueError):
+        engine.search_many(frame(spark, [("q", "x")], "qid string, text string"), "candidates")
+    with pytest.raises(ValueError):
+        engine.search_many(frame(spark, [("q", "x" * 1001)], "qid string, text string"), "candidates")
     assert [e["type"] for e in engine.search_events("x")][-1] == "error" and engine.health()["candidates"] == 4
     with pytest.raises(ValueError):
         engine.search("python", mode="none")
@@ -171,3 +178,54 @@ def test_engine(spark):
     rels = frame(spark, [("q1", "person_0", 2), ("q2", "person_1", 1)], "qid string, doc_id string, rel int")
     summary = engine.eval_summary(asked, rels, "candidates", ("bm25", "rrf3")).collect()
     assert len(summary) == 6 and all(r.recall_100 == 1.0 for r in summary) and sum(r.is_best for r in summary) == 3
+
+
+def test_a_classifier_decides_unless_it_fails_or_the_caller_says(spark):
+    none = frame(spark, [("python", "python")], "legacy_id string, canonical_id string")
+    asked = frame(spark, [("a", "an opening", None, None), ("b", "an opening", "jobs", ["Go"]), ("c", "someone", None, None)], "qid string, text string, side string, query_skills array<string>")
+    told = lambda classify: {r.qid: (r.side, r.query_skills) for r in Engine(None, None, none, classify=classify).intent(asked).collect()}
+    assert told(None) == {"a": ("jobs", []), "b": ("jobs", ["Go"]), "c": ("candidates", [])}
+    clever = lambda q: q.withColumn("side", F.when(F.col("qid") != "c", "candidates")).withColumn("query_skills", F.array(F.lit("Java")))
+    assert told(clever) == {"a": ("candidates", ["Java"]), "b": ("jobs", ["Go"]), "c": ("candidates", ["Java"])}
+
+    def broken(q):
+        raise RuntimeError("no answer")
+
+    assert told(broken) == told(None)
+
+
+def test_documents_without_a_text_stay_in_the_reranked_head(spark):
+    fused = frame(spark, [("q", "a", 0.3, 1), ("q", "b", 0.2, 2), ("q", "c", 0.1, 3)], "qid string, doc_id string, fused double, rank int")
+    got = fusion.rerank(fused, frame(spark, [("q", "python java")], "qid string, text string"), frame(spark, [("b", "python java"), ("c", None)], "doc_id string, text string"), 3).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == ["b", "a", "c"] and got[1].rerank == got[2].rerank > 0
+
+
+def test_passages_are_found_in_texts(spark):
+    passage = "one two three four five six seven eight nine"
+    texts = frame(spark, [(1, f"x{passage}y"), (2, passage[:-1]), (3, f"a b {passage}. {passage}"), (4, None), (5, ""), (6, "tiny bit")], "doc_id long, text string")
+    items = frame(spark, [(1, passage), (2, "tiny"), (3, "nowhere to be found in any of these texts"), (4, None)], "item_id long, text string")
+    assert sorted(map(tuple, evalset.holding(texts, items).collect())) == [(1, 1), (3, 1), (6, 2)]
+
+
+def test_vectors_are_saved_once(spark, tmp_path):
+    rows = frame(spark, [("a", [3.0, 4.0]), ("b", None)], "doc_id string, vec array<double>")
+    vector.save(rows, f"{tmp_path}/v")
+    vector.save(frame(spark, [("z", [1.0, 0.0])], "doc_id string, vec array<double>"), f"{tmp_path}/v")
+    got = vector.load(spark, f"{tmp_path}/v", 2).collect()
+    assert [(r.doc_id, [round(x, 5) for x in r.vec]) for r in got] == [("a", [0.6, 0.8])]
+    with pytest.raises(ValueError):
+        vector.load(spark, f"{tmp_path}/v", 3)
+
+
+def test_canonicalisation_in_one_run(spark):
+    skills = frame(spark, [("py", "py", 9), ("ml", "machine learning", 5), ("tf", "tensor flow", 4), ("tff", "tensorflow", 3), ("go", "golang", 2), ("b", " ", 1)], "legacy_id string, raw_name string, occurrences long")
+    aliases = frame(spark, [("py", "Python")], "alias string, canonical_name string")
+    labels = frame(spark, [("Machine Learning", "uri:1")], "title string, uri string")
+    vec = lambda c: F.when(c.startswith("tensor"), F.array(F.lit(1.0), F.lit(0.0))).when(c == "golang", F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(-1.0), F.lit(0.0)))
+    run = canonical.run(skills, aliases, labels, vec)
+    got = {r.raw_name: (r.canonical_id, r.canonical_name, r.source, r.uri, r.confidence) for r in run.collect()}
+    assert got == {
+        "py": ("python", "Python", "alias", None, 1.0), "machine learning": ("machine-learning", "Machine Learning", "ontology", "uri:1", 1.0), "tensor flow": ("tensor-flow", "tensor flow", "raw", None, 0.5),
+        "tensorflow": ("tensor-flow", "tensor flow", "embedding", None, 0.92), "golang": ("golang", "golang", "raw", None, 0.5), " ": ("unknown", " ", "raw", None, 0.5),
+    }
+    assert tuple(canonical.stats(run).first()) == (6, 5, 1.2, 1)

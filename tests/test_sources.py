@@ -3,6 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from twinseek import __main__ as cli
 from twinseek import schemas
 from twinseek.sources import readers as R
 from twinseek.streaming import windows
@@ -62,6 +63,42 @@ def test_aliases(spark, tmp_path):
     assert {tuple(r) for r in R.aliases(spark, str(tmp_path / "a.yaml")).collect()} == {("python", "Python"), ("py", "Go"), ("python3", "Python"), ("go", "Go"), ("golang", "Go")}
 
 
+def test_nested_field_maps(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("# map\nversion: 2\ncolumns:\n  - { name: id, dtype: int64 }\n  - { name: n, dtype: object }\n\nfields:\n  id:\n    column: id\n    required: true\n    notes:\n      - \"low, signal\"\n  summary:\n    column: text  # long\n  city:\n    column: null\nlevels:\n  Expert: 5\nnone: []\ntemplate: |\n  {name}\n  Skills: {x}\nlast: x y\n")
+    got = R.field_map(spark, str(tmp_path / "m.yaml"))
+    assert got["version"] == 2 and got["columns"] == [{"name": "id", "dtype": "int64"}, {"name": "n", "dtype": "object"}] and got["levels"] == {"Expert": 5} and got["none"] == []
+    assert got["fields"]["id"] == {"column": "id", "required": True, "notes": ["low, signal"]} and got["template"] == "{name}\nSkills: {x}" and got["last"] == "x y"
+    assert R.columns_of(got) == {"id": "id", "summary": "text"}
+
+
+def test_the_command_line_from_files_to_graph(spark, tmp_path, capsys):
+    (tmp_path / "p.csv").write_text('id,name,core_skills,secondary_skills,soft_skills,years_of_experience,potential_roles,skill_summary\n1,Ann,"Python ( Expert ), SQL",,,2.0,"Dev, ,Lead",s\n2,Bob,py (Competent),,,1.0,Dev,t\n')
+    (tmp_path / "d.csv").write_text("id,state,city,country,job_title,primary_skills,secondary_skills,experience_lower,experience_upper,designation\nD1,,Pune,USA,,Python,Go,2,5,Engineer\n")
+    (tmp_path / "a.yaml").write_text("Python: [py]\n")
+    (tmp_path / "q.jsonl").write_text('{"qid":"q1","text":"python engineer"}\n')
+    md = "## Job Title\nLead\n## Skill Requirements\n**Must Have:**\n- Java\n**Good to Have:**\n- Go\n"
+    with zipfile.ZipFile(tmp_path / "j.zip", "w") as z:
+        z.writestr("1/enhanced_job_description.md", md)
+    run = lambda *a: cli.main([str(x) for x in a])
+    run("etl", "profiles", tmp_path / "p.csv", tmp_path / "x")
+    run("etl", "demands", tmp_path / "d.csv", tmp_path / "x")
+    run("etl", "jds", tmp_path / "j.zip", tmp_path / "y")
+    run("register", tmp_path / "x", tmp_path / "y", "--out", tmp_path / "t")
+    assert {r.source for r in spark.read.parquet(f"{tmp_path}/t/job_skills").collect()} == {"demand_primary", "demand_secondary", "jd_must", "jd_nice"}
+    run("canonicalise", tmp_path / "t/skills", tmp_path / "a.yaml", tmp_path / "c", "--embed")
+    run("kg", tmp_path / "t", tmp_path / "c", tmp_path / "g", "--wipe")
+    edges = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/g/edge_has_skill").select("person_id", "skill_id", "proficiency").collect()}
+    assert edges == {("person_1", "python", 5), ("person_1", "sql", 1), ("person_2", "python", 3)}
+    assert spark.read.parquet(f"{tmp_path}/g/edge_can_fill").count() == 3 and spark.read.parquet(f"{tmp_path}/g/node_location").count() == 1
+    for kind in ("bm25", "dense"):
+        run("index", kind, tmp_path / "t/jobs", tmp_path / kind)
+        run("search", kind, tmp_path / kind, tmp_path / "q.jsonl", tmp_path / f"{kind}.run")
+        assert spark.read.text(f"{tmp_path}/{kind}.run").first().value.startswith("q1 Q0 job_demand_d1 1 ")
+    run("inspect", tmp_path / "p.csv", "id")
+    run("queries")
+    assert "canonical_run" in capsys.readouterr().out
+
+
 def test_tolerant_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id,name\n1,a\nx,b\n")
     got = R.csv(spark, str(tmp_path / "t.csv"), "id int, name string", tolerant=True).cache().collect()

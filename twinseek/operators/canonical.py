@@ -109,6 +109,39 @@ def one(skills: DataFrame, aliases: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def run(skills: DataFrame, aliases: DataFrame, labels: DataFrame | None = None, encode=None, least: float = CLUSTER_LEAST) -> DataFrame:
+    """All of skills(legacy_id, raw_name, occurrences) through the layers: (raw_name, legacy_id, occurrences,
+    canonical_id, canonical_name, source, uri, confidence).
+
+    Names the alias table knows; of the rest those an ontology label (labels(title, uri)) is like; of the rest, with
+    encode (a column to its vector), those that join the cluster of a more frequent name; the others stay as they
+    are. Leaders are tried by occurrences, then name.
+    """
+    columns = ("raw_name", "legacy_id", "occurrences", "canonical_id", "canonical_name", "source", "uri", "confidence")
+    none = F.lit(None).cast("string")
+    first = durable(by_alias(skills, aliases).withColumn("uri", none).select(*columns))
+    rest, found = skills.join(first.select("raw_name"), "raw_name", "left_anti"), [first]
+    if labels is not None:
+        second = durable(by_ontology(rest.where("trim(raw_name) <> ''"), labels).select(*columns))
+        rest, found = rest.join(second.select("raw_name"), "raw_name", "left_anti"), [*found, second]
+    named = rest.withColumn("canonical_name", F.col("raw_name"))
+    if encode is not None:
+        order = Window.orderBy(F.col("occurrences").desc(), "raw_name")  # one row a name left over; a range partition and its offsets beyond that
+        rows = durable(rest.select("raw_name", F.row_number().over(order).cast("long").alias("id"), encode(F.col("raw_name")).alias("vec")).withColumn("ord", F.col("id")))
+        of = cluster(rows.select("id", "vec", "ord"), least).select("id", "centroid")
+        led = rows.select("id", "raw_name").join(of, "id").join(rows.select(F.col("id").alias("centroid"), F.col("raw_name").alias("canonical_name")), "centroid").select("raw_name", "canonical_name")
+        named = rest.join(led, "raw_name")
+    joined = F.col("canonical_name") != F.col("raw_name")
+    third = named.withColumns({"canonical_id": service_slug(F.col("canonical_name")), "source": F.when(joined, "embedding").otherwise("raw"), "uri": none, "confidence": F.when(joined, least).otherwise(0.5)})
+    return layers(*found, third.select(*columns))
+
+
+def stats(canonical: DataFrame) -> DataFrame:
+    """(total_raw_skills, distinct_canonical_skills, compression_ratio, uris_resolved) of run()."""
+    n, ids = F.count("*"), F.countDistinct("canonical_id")
+    return canonical.agg(n.alias("total_raw_skills"), ids.alias("distinct_canonical_skills"), F.round(n / F.greatest(ids, F.lit(1)), 3).alias("compression_ratio"), F.count(F.when(F.coalesce("uri", F.lit("")) != "", 1)).alias("uris_resolved"))
+
+
 def rollup(canonical: DataFrame) -> DataFrame:
     """One row per canonical_id: the first name by occurrences, its sources, a uri, the greatest confidence."""
     key = F.struct(-F.col("occurrences"), F.col("raw_name"))

@@ -59,6 +59,38 @@ def role_ranks(persons_: DataFrame) -> DataFrame:
     return each.select("person_id", F.trim("role").alias("role"), (F.col("pos") + 1).alias("rank")).where("role <> ''")
 
 
+def build(profiles: DataFrame, profile_skills: DataFrame, jobs: DataFrame, job_skills: DataFrame, canonical: DataFrame, slug) -> dict[str, DataFrame]:
+    """Node and edge tables of the ETL's tables and canonical(legacy_id, canonical_id, canonical_name, source, uri,
+    confidence). Blank roles, designations, industries and places give neither node nor edge; skills that
+    canonical does not know give no edge. Edges of one pair are merged as they are written, by upsert."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    place = slug(F.concat_ws("-", blank("city"), blank("country")))
+    roles = profiles.select(F.col("id").alias("person_id"), F.posexplode("potential_roles").alias("_i", "_t")).select("person_id", F.trim("_t").alias("title"), (F.col("_i") + 1).alias("rank")).where("title <> ''").withColumn("role_id", slug(F.col("title")))
+    placed = jobs.where((blank("city") != "") | (blank("country") != "")).select(F.col("id").alias("job_id"), place.alias("location_id"), blank("city").alias("city"), blank("country").alias("country"))
+    named = lambda c: jobs.where(blank(c) != "").select(F.col("id").alias("job_id"), F.trim(c).alias(c))
+    ids = canonical.select(F.col("legacy_id").alias("skill_id"), "canonical_id").distinct()
+    known = lambda edges: edges.join(ids, "skill_id").drop("skill_id").withColumnRenamed("canonical_id", "skill_id")
+    skills = canonical.groupBy(F.col("canonical_id").alias("id")).agg(
+        F.min("canonical_name").alias("name"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source"), F.min("uri").alias("uri"), F.coalesce(F.max(F.nanvl("confidence", F.lit(0.0))), F.lit(0.0)).alias("confidence")
+    )
+    filled = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return {
+        "node_skill": skills,
+        "node_person": profiles.select("id", filled("name"), F.coalesce("years_experience", F.lit(0.0)).alias("years_experience"), filled("canonical_text")),
+        "node_job": jobs.select("id", filled("title"), filled("designation"), filled("industry"), F.coalesce("experience_lower", F.lit(0)).alias("experience_lower"), F.coalesce("experience_upper", F.lit(0)).alias("experience_upper"), "source", filled("canonical_text")),
+        "node_role": roles.select(F.col("role_id").alias("id"), "title").distinct(),
+        "node_designation": named("designation").select(F.col("designation").alias("name")).distinct(),
+        "node_industry": named("industry").select(F.col("industry").alias("name")).distinct(),
+        "node_location": placed.select(F.col("location_id").alias("id"), "city", "country").distinct(),
+        "edge_has_skill": known(profile_skills.select("person_id", "skill_id", "category", "proficiency_label", "proficiency", "source")),
+        "edge_requires_skill": known(job_skills.select("job_id", "skill_id", "priority", "category", "source")),
+        "edge_can_fill": roles.select("person_id", "role_id", "rank"),
+        "edge_is_designation": named("designation"),
+        "edge_in_industry": named("industry"),
+        "edge_at_location": placed.select("job_id", "location_id"),
+    }
+
+
 def unique(nodes: DataFrame, key: str) -> DataFrame:
     """Values of a key that break its uniqueness, with their counts."""
     return nodes.groupBy(key).count().where("count > 1")
@@ -70,6 +102,12 @@ def write(tables: dict[str, DataFrame], path: str) -> None:
         tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def wipe(spark, path: str) -> None:
+    """Removes the graph's tables."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, n) of each table."""
     out = None

@@ -73,6 +73,19 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     return top_k(out, k)
 
 
+def save(corpus: DataFrame, path: str) -> None:
+    """corpus(doc_id, vec) as a parquet table of unit vectors; an index that is there already stays as it is."""
+    corpus.where("vec is not null").select("doc_id", F.transform(normalised(F.col("vec")), lambda x: x.cast("float")).alias("vec")).write.mode("ignore").parquet(path)
+
+
+def load(spark, path: str, width: int | None = None) -> DataFrame:
+    """A saved index; vectors that are not `width` long are an error."""
+    out = spark.read.parquet(path)
+    if width is not None and not out.where(F.size("vec") != width).isEmpty():
+        raise ValueError(f"vectors of {width} numbers expected")
+    return out
+
+
 def hash_encode(text: Column, width: int = 64) -> Column:
     """Deterministic encoder: every token adds one to the dimension its MD5 names."""
     hashed = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(width)))

@@ -222,6 +222,48 @@ def graph_build(spark, d):
     return out
 
 
+@query(
+    f"with {_RAWS}, {_ALIASES}, {_LABELS}, {_ONTO.replace('>= 0.6', '>= 0.7')}, all_ as (select r.raw_name, {V.SLUG.format('r.raw_name')} as legacy_id, occurrences, coalesce(a.canonical_name, o.title, r.raw_name) as canonical_name, case when a.alias is not null then 'alias' when o.title is not null then 'ontology' else 'raw' end as source, "
+    "case when a.alias is null then o.uri end as uri, round(case when a.alias is not null then 1.0 when o.title is not null then o.s else 0.5 end::double, 6) as confidence from raws r left join aliases a on r.raw_name = a.alias left join onto o on o.raw_name = r.raw_name) "
+    f"select *, {V.SLUG.format('canonical_name')} as canonical_id from all_"
+)
+def canonical_run(spark, d):
+    skills = raw_skills(spark, d).withColumn("legacy_id", T.service_slug(F.col("raw_name")))
+    return canonical.run(skills, aliases(spark), ontology(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+def graph_tables(spark, d):
+    """The graph of the star tables in the shape of the ETL's."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    people = c.select(F.concat(F.lit("person_"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1.0).alias("years_experience"), F.array(F.concat(F.lit(" "), "c_mktsegment"), F.lit(" "), F.col("n_name")).alias("potential_roles"), F.col("c_name").alias("canonical_text"))
+    jobs = V.jobs(spark, d).select("id", F.lit("t").alias("title"), "designation", F.when(F.col("industry") == "BUILDING", " ").otherwise(F.col("industry")).alias("industry"), F.when(F.col("country") == "ASIA", None).otherwise(F.col("city")).alias("city"), F.when(F.col("country") == "ASIA", "").otherwise(F.col("country")).alias("country"), F.lit(0).alias("experience_lower"), F.lit(1).alias("experience_upper"), "source", F.lit("x").alias("canonical_text"))
+    has = V.has_skill(spark, d).select("person_id", "skill_id", "category", F.lit("l").alias("proficiency_label"), "proficiency", F.lit("resume").alias("source"))
+    need = V.requires_skill(spark, d).select("job_id", "skill_id", "priority", F.lit("c").alias("category"), F.lit("s").alias("source"))
+    known = V.skills(spark, d).where("skill_id not like '%promo'").groupBy("skill_id", "skill_name").agg(F.count("*").alias("n"))
+    canon = known.select(F.col("skill_id").alias("legacy_id"), F.concat(F.lit("c-"), "skill_id").alias("canonical_id"), F.col("skill_name").alias("canonical_name"), F.lit("raw").alias("source"), F.lit(None).cast("string").alias("uri"), F.lit(0.5).alias("confidence"))
+    return graph.build(people, has, jobs, need, canon, T.service_slug)
+
+
+_PLACED = "place as (select * from jobs where country <> 'ASIA'), known as (select distinct skill_id from skills where skill_id not like '%promo')"
+
+
+@query(
+    f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.HAS_SKILL}, {V.REQUIRES}, {V.JOBS}, {_PLACED}, roles as (select c_mktsegment as t from customer union all select n_name from customer join nation on c_nationkey = n_nationkey), "
+    "t as (select 'node_skill' as \"table\", count(*) as n from known union all select 'node_person', count(*) from customer union all select 'node_job', count(*) from jobs union all select 'node_role', count(distinct t) from roles union all select 'edge_can_fill', count(*) from roles "
+    "union all select 'node_designation', count(distinct designation) from jobs where trim(designation) <> '' union all select 'edge_is_designation', count(*) from jobs where trim(designation) <> '' union all select 'node_industry', count(distinct industry) from jobs where industry <> 'BUILDING' union all select 'edge_in_industry', count(*) from jobs where industry <> 'BUILDING' "
+    "union all select 'node_location', count(distinct (city, country)) from place union all select 'edge_at_location', count(*) from place union all select 'edge_has_skill', count(*) from has_skill where skill_id in (select * from known) union all select 'edge_requires_skill', count(*) from requires_skill where skill_id in (select * from known)) select * from t"
+)
+def graph_table_counts(spark, d):
+    return graph.counts(graph_tables(spark, d))
+
+
+@query(
+    f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.HAS_SKILL} select concat('c-', skill_id) as skill_id, category, count(*) as n, cast(sum(proficiency) as bigint) as total from has_skill where skill_id not like '%promo' group by all"
+)
+def graph_skill_edges(spark, d):
+    return graph_tables(spark, d)["edge_has_skill"].groupBy("skill_id", "category").agg(F.count("*").alias("n"), F.sum("proficiency").alias("total"))
+
+
 @query("select c_custkey, 'customer' as source, c_name as title, c_mktsegment as industry, null as priority from customer union all by name select o_orderkey as c_custkey, 'order' as source, o_orderpriority as priority from orders")
 def union_by_name(spark, d):
     a = table(spark, d, "customer").select("c_custkey", F.lit("customer").alias("source"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("industry"))

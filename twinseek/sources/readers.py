@@ -169,6 +169,54 @@ def _norm(s: str) -> str:
     return " ".join(s.strip().strip("\"'").lower().split())
 
 
-def field_map(spark: SparkSession, path: str) -> dict[str, str]:
-    """Top-level 'key: value' pairs of a field map; a missing file raises."""
-    return {m[1]: m[2].strip("\"' ") for r in spark.read.text(path).collect() if (m := re.match(r"^(\w+):\s*(\S.*)$", r.value))}
+def field_map(spark: SparkSession, path: str) -> dict:
+    """A field map: nested 'key: value' mappings by indentation, lists of values or of mappings, and mappings in
+    braces; a missing file raises. It is a file the user writes by hand, so it is parsed on the driver."""
+    lines = []
+    for r in spark.read.text(path).collect():
+        line = re.sub(r"(^|\s)#.*$", "", r.value).rstrip()
+        if line.strip() not in ("", "---"):
+            lines.append((len(line) - len(line.lstrip()), line.strip()))
+    return _block(lines, 0, 0)[0] if lines else {}
+
+
+def columns_of(fields: dict) -> dict[str, str]:
+    """The column of each canonical field that has one."""
+    return {name: f["column"] for name, f in (fields.get("fields") or {}).items() if isinstance(f, dict) and f.get("column")}
+
+
+def _value(text: str):
+    text = text.strip()
+    if text[:1] == "{":
+        return {k.strip(): _value(v) for k, _, v in (x.partition(":") for x in text.strip("{} ").split(",")) if k.strip()}
+    if text[:1] == "[":
+        return [_value(x) for x in text.strip("[] ").split(",") if x.strip()]
+    if text[:1] in ("'", '"'):
+        return text[1:-1]
+    plain = {"": None, "null": None, "~": None, "true": True, "false": False}
+    return plain[text] if text in plain else int(text) if re.fullmatch(r"-?\d+", text) else text
+
+
+def _block(lines: list[tuple[int, str]], at: int, indent: int) -> tuple[dict | list, int]:
+    """(the mapping or list that begins at a line, the line after it)."""
+    out: dict | list = [] if lines[at][1].startswith("- ") else {}
+    while at < len(lines) and lines[at][0] >= indent:
+        text = lines[at][1]
+        at += 1
+        if isinstance(out, list):
+            if not text.startswith("- "):
+                return out, at - 1
+            out.append(_value(text[2:]))
+            continue
+        key, _, rest = text.partition(":")
+        if rest.strip() in ("|", ">"):
+            held = []
+            while at < len(lines) and lines[at][0] > indent:
+                held.append(lines[at][1])
+                at += 1
+            out[key.strip("\"' ")] = "\n".join(held)
+        elif rest.strip() or at >= len(lines) or lines[at][0] < indent or (lines[at][0] == indent and not lines[at][1].startswith("- ")):
+            out[key.strip("\"' ")] = _value(rest)
+        else:
+            out[key.strip("\"' ")], at = _block(lines, at, lines[at][0])
+    return out, at
