@@ -25,9 +25,13 @@ def query_skill_ids(queries: DataFrame, canonical: DataFrame, slug) -> DataFrame
 
 def overlap(asked: DataFrame, edges: DataFrame, doc_id: str, value: Column) -> DataFrame:
     """(qid, doc_id, score, overlap) of asked(qid, skill_id) over edges: a skill asked twice scores twice, all
-    edges of a pair add up, the overlap counts it once."""
-    hits = asked.select("qid", "skill_id").join(edges, "skill_id")
-    return hits.groupBy("qid", F.col(doc_id).alias("doc_id")).agg(F.sum(value).alias("score"), F.countDistinct("skill_id").alias("overlap"))
+    edges of a pair add up, the overlap counts it once. Both sides are summed before they meet, and edges of
+    skills that nobody asks for are left out before they are summed."""
+    wanted = asked.groupBy("qid", "skill_id").agg(F.count("*").alias("_times"))
+    named = edges.join(wanted.select("skill_id").distinct(), "skill_id", "left_semi")
+    summed = named.groupBy("skill_id", F.col(doc_id).alias("doc_id")).agg(F.sum(value).alias("_value"))
+    hits = wanted.join(summed, "skill_id")
+    return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("_times") * F.col("_value")).alias("score"), F.count("*").alias("overlap"))
 
 
 def persons(asked: DataFrame, has_skill: DataFrame, k: int = 100, min_overlap: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import durable
 
 K1, B = 1.5, 0.75
 
@@ -42,8 +43,9 @@ MOST_TERMS = 100_000
 def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
     """Index of corpus(doc_id, text). Documents without tokens count in the number and mean length. With
     only(qid, text), an index for those queries: postings of other terms are left out before the shuffle if
-    the terms are few, and as late as the search itself if they are many."""
-    cut = corpus.select("doc_id", tokens(F.col("text")).alias("tokens"))
+    the terms are few, and as late as the search itself if they are many. Texts are cut into tokens once: the
+    tokens are an intermediate table."""
+    cut = durable(corpus.select("doc_id", tokens(F.col("text")).alias("tokens")))
     docs = cut.select("doc_id", F.size("tokens").cast("long").alias("dl"))
     n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
     each = cut.select("doc_id", F.explode("tokens").alias("term"))
@@ -82,6 +84,7 @@ def search(index: Index, queries: DataFrame, k: int = 100, pad_zero: bool = True
     found = top_k(scores(index, queries), k).select("qid", "doc_id", "score", "rank")
     if not pad_zero:
         return found
+    found = durable(found)  # at most k rows a query, read three times below
     have = queries.select("qid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("have")), "qid", "left").fillna(0, ["have"]).where(F.col("have") < k)
     first = index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
     spare = have.join(F.broadcast(first)).join(found.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import canonical, evalset, fusion, metrics
+from ..session import durable
 from . import search_queries as S
 from . import views as V
 from .base import query, table
@@ -50,8 +51,8 @@ _ABLATION = f"{_RUNS}, {V.JUDGEMENTS}, ablation as (" + " union all ".join(f"sel
 
 def configs(spark, d):
     """Runs of all configurations by name; they share the channel runs."""
-    runs = S.runs(spark, d)
-    three = fusion.rrf(runs)
+    runs = {c: durable(run) for c, run in S.runs(spark, d).items()}
+    three = durable(fusion.rrf(runs))
     return {
         "bm25": runs["bm25"], "dense": runs["dense"], "kg_only": runs["kg"], "rrf": fusion.rrf({c: runs[c] for c in ("bm25", "dense")}, 100), "rrf3": three,
         "rrf3_rerank": fusion.rerank(three, V.text_queries(spark, d), V.texts(spark, d)),
