@@ -63,6 +63,11 @@ def with_counts(docs: DataFrame) -> DataFrame:
     ).drop("_words", "_lines", "_grams", "_placed")
 
 
+def failed() -> Column:
+    """The base verdict on with_counts()."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def with_buckets(docs: DataFrame) -> DataFrame:
     """docs(text) with _ngrams: the buckets of every word, then of every pair of neighbours, the first after a start mark."""
     out = docs.withColumn("_hashes", F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)))
@@ -97,9 +102,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios(docs, trusted))), ",").cast("array<double>")
     out = with_buckets(with_counts(docs))
     total = F.aggregate("_ngrams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        out.withColumns({"base_failed": failed, "llr": F.when(F.size("_ngrams") > 0, total / F.size("_ngrams")).otherwise(0.0)})
+        out.withColumns({"base_failed": failed(), "llr": F.when(F.size("_ngrams") > 0, total / F.size("_ngrams")).otherwise(0.0)})
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
         .drop("_ngrams")
     )

@@ -91,7 +91,57 @@ def op10_gam(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+# The parts of the operators above that SQL can express, for a check of whole tables.
+
+
+def mix_targets(spark, sf_dir):
+    """Sizes and targets of op4."""
+    return op4_pivotal_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def pii_base_counts(spark, sf_dir):
+    """Base spans of op1 by kind."""
+    found = pii.with_spans(documents(spark, sf_dir))
+    return found.select("doc_id", *(F.size(f"base_{kind}").cast("long").alias(f"n_{kind}") for kind in pii.KINDS))
+
+
+def rule_counts(spark, sf_dir):
+    """Counts and base verdict of op6."""
+    found = quality_rules.with_counts(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.failed().alias("base_failed"))
+
+
+WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 ORACLES = {
+    "mix_targets": f"""
+with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as words, row_number() over (order by source nulls last) as i from d group by 1),
+w as (select *, (i - 1) % 3 + 1 as weight, 3.0 * words as most from s),
+-- by the share at which a source is full: what is left for this one and those after it, by weight
+o as (select *, (sum(words) over () - coalesce(sum(most) over (order by most / weight, i rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by most / weight, i rows between current row and unbounded following) as unit from w),
+t as (select *, unit * weight > most as full_ from o)
+select doc_id, size, words as source_size, round(case when full_ then most else (select first(unit order by most / weight, i) from t where not full_) * weight end, 6)::double as target
+from d join t on d.source is not distinct from t.source""",
+    "pii_base_counts": r"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+f as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as e, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') as i,
+  list_transform(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) as c,
+  list_transform(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) as p from t)
+select doc_id, cast(len(e) as bigint) as n_email,
+  cast(len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: coalesce(try_cast(y as bigint), 999) > 255)) = 0)) as bigint) as n_ip,
+  cast(len(list_filter(c, lambda x: length(x) between 13 and 19 and list_sum(list_transform(range(1, length(x) + 1), lambda k: case when k % 2 = 1 then x[k]::int when x[k]::int > 4 then 2 * x[k]::int - 9 else 2 * x[k]::int end)) % 10 = 0)) as bigint) as n_card,
+  cast(len(list_filter(p, lambda n: n between 9 and 15)) as bigint) as n_phone from f""",
+    "rule_counts": f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {WORDS} as w from documents),
+g as (select r, unnest(range(1, len(w) - 1)) as i, w from d where len(w) > 2),
+m as (select r, i, count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) > 1 as twice from g),
+c as (select r, count(distinct i + k) as n from m, (values (0), (1), (2)) v(k) where twice group by 1),
+l as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+a as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words
+  from d join l using (r) left join c using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from a""",
     "op9_schema_fingerprints": f"""
 with r as (
   select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -107,7 +157,7 @@ from e group by conv_id""",
 
 
 def queries():
-    return {f.__name__: f for f in (op1_weak_labels, op2_suffix_dedup, op3_spot_signatures, op4_pivotal_mix, op5_cross_parsing, op6_ngram_ratio, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints, op10_gam)}
+    return {f.__name__: f for f in (op1_weak_labels, op2_suffix_dedup, op3_spot_signatures, op4_pivotal_mix, op5_cross_parsing, op6_ngram_ratio, op7_simhash_ball, op8_min_bin_slack, op9_schema_fingerprints, op10_gam, mix_targets, pii_base_counts, rule_counts)}
 
 
 def oracle_sql():
