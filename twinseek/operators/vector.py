@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import durable
 from .lexical import top_k
 
 #: Query vectors held by every task at once, in numbers; more queries go in several passes.
@@ -39,15 +40,20 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     """(qid, doc_id, score, rank): the k nearest of corpus(doc_id, vec) to each of queries(qid, vec) by cosine.
 
     Exact. The corpus streams through once per block of queries; each batch keeps its k best per query, and a
-    window settles the rest. A block's size is bounded by BLOCK_VALUES numbers.
+    window settles the rest. A block's size is bounded by BLOCK_VALUES numbers; the driver holds one block at a
+    time, and where there are several each one's result is written before the next is fetched. qid is unique.
     """
-    asked = queries.where("vec is not null").select("qid", "vec").orderBy("qid").collect()
-    spark, parts = corpus.sparkSession, []
+    asked = queries.where("vec is not null").select("qid", "vec")
+    spark, parts, last = corpus.sparkSession, [], None
     kind = corpus.schema["doc_id"].dataType
     qkind = queries.schema["qid"].dataType.simpleString()
-    step = max(1, BLOCK_VALUES // max(1, len(asked[0].vec))) if asked else 1
-    for at in range(0, len(asked), step):
-        block = asked[at : at + step]
+    some = asked.first()
+    step = max(1, BLOCK_VALUES // max(1, len(some.vec))) if some else 0
+    while step:
+        block = (asked if last is None else asked.where(F.col("qid") > last)).orderBy("qid").limit(step).collect()
+        if not block:
+            break
+        last = block[-1].qid
         shared = spark.sparkContext.broadcast(([r.qid for r in block], unit([r.vec for r in block])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -64,13 +70,17 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
                 cols = np.repeat(np.arange(len(names)), best.shape[0])
                 yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in cols]), ids.take(pa.array(rows)), pa.array(s[rows, cols])], ["qid", "doc_id", "score"])
 
-        parts.append(corpus.where("vec is not null").select("doc_id", "vec").mapInArrow(run, f"qid {qkind}, doc_id {kind.simpleString()}, score double"))
+        found = top_k(corpus.where("vec is not null").select("doc_id", "vec").mapInArrow(run, f"qid {qkind}, doc_id {kind.simpleString()}, score double"), k)
+        if len(block) < step:
+            parts.append(found)
+            break
+        parts.append(durable(found))
     if not parts:
         return spark.createDataFrame([], f"qid {qkind}, doc_id {kind.simpleString()}, score double, rank int")
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
-    return top_k(out, k)
+    return out
 
 
 def save(corpus: DataFrame, path: str) -> None:
