@@ -165,7 +165,7 @@ def test_engine(spark):
     assert engine.profile("person_0")["skills"][0]["skill_name"] == "Python" and engine.profile("nobody") is None
     assert [e["type"] for e in engine.search_events("find python", mode="bm25")] == ["intent", "stage_start", "stage_done", "results", "done"]
     stages = [(e["type"], e.get("stage")) for e in engine.search_events("find python", side="candidates", query_skills=["Python"])]
-    assert stages == [("intent", None), ("stage_start", "all"), *(("stage_done", s) for s in ("bm25", "dense", "kg", "rrf", "rerank")), ("results", None), ("done", None)]
+    assert stages == [("intent", None), ("stage_start", "all"), *(("stage_done", s) for s in ("encode", "bm25", "dense", "kg", "rrf", "rerank")), ("results", None), ("done", None)]
     assert [e["results"] for e in engine.search_events("find python", side="candidates") if e["type"] == "results"][0] == engine.search("find python", "candidates")
     with pytest.raises(ValueError):
         engine.search_many(frame(spark, [("q", "x")], "qid string, text string"), "candidates")
@@ -229,3 +229,11 @@ def test_canonicalisation_in_one_run(spark):
         "tensorflow": ("tensor-flow", "tensor flow", "embedding", None, 0.92), "golang": ("golang", "golang", "raw", None, 0.5), " ": ("unknown", " ", "raw", None, 0.5),
     }
     assert tuple(canonical.stats(run).first()) == (6, 5, 1.2, 1)
+
+
+def test_paraphrases_are_written_once(spark):
+    queries = frame(spark, [("a", "t", "x", "find java", ["Java"]), ("b", "t", "y", "find go", None), ("c", "t", "z", "find c", None), ("a_p", "t", "x", "old", None)], "qid string, task string, anchor_id string, text string, query_skills array<string>")
+    cache = frame(spark, [("b", "b_p", "t", "y", "find go", "someone for go", "brief", None), ("gone", "gone_p", "t", "y", "q", "r", "brief", None)], "source_qid string, paraphrased_qid string, task string, anchor_id string, original_text string, paraphrased_text string, style string, query_skills array<string>")
+    write = lambda df: df.withColumn("paraphrased_text", F.when(F.col("source_qid") == "c", " ").otherwise(F.concat(F.lit(" "), F.upper("text"), F.lit("/"), "style")))
+    got = {r.paraphrased_qid: r.paraphrased_text for r in evalset.paraphrases(queries, cache, write, ("brief",)).collect()}
+    assert got == {"b_p": "someone for go", "a_p": "FIND JAVA/brief"}

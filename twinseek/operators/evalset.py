@@ -89,6 +89,19 @@ def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
     return found.select("doc_id", "item_id").union(everywhere.select("doc_id", "item_id")).distinct()
 
 
+def paraphrases(queries: DataFrame, cache: DataFrame, write, styles: tuple[str, ...]) -> DataFrame:
+    """(source_qid, paraphrased_qid, task, anchor_id, original_text, paraphrased_text, style, query_skills) of the
+    originals among queries: from the cache where it has them, else by write, any function from
+    (source_qid, text, style) to the same with paraphrased_text. Styles go round by the hash of the qid. What the
+    writer leaves blank is left out, so that it is asked again."""
+    style = F.element_at(F.array(*map(F.lit, styles)), (F.pmod(F.xxhash64("qid"), F.lit(len(styles))) + 1).cast("int"))
+    own = queries.where(~F.col("qid").endswith("_p")).select(F.col("qid").alias("source_qid"), F.concat("qid", F.lit("_p")).alias("paraphrased_qid"), "task", "anchor_id", F.col("text").alias("original_text"), "query_skills", style.alias("style"))
+    new = own.join(cache.select("source_qid"), "source_qid", "left_anti")
+    said = write(new.select("source_qid", F.col("original_text").alias("text"), "style")).where("trim(paraphrased_text) <> ''").select("source_qid", F.trim("paraphrased_text").alias("paraphrased_text"))
+    columns = ("source_qid", "paraphrased_qid", "task", "anchor_id", "original_text", "paraphrased_text", "style", "query_skills")
+    return cache.select(*columns).join(own.select("source_qid"), "source_qid", "left_semi").select(*columns).union(new.join(said, "source_qid").select(*columns))
+
+
 def inherit(paraphrases: DataFrame, qrels: DataFrame) -> DataFrame:
     """Judgements of paraphrases(qid, source_qid): those of their sources."""
     return paraphrases.join(qrels.withColumnRenamed("qid", "source_qid"), "source_qid").select("qid", "doc_id", "rel")

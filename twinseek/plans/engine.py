@@ -60,13 +60,16 @@ class Engine:
         skills = F.col("query_skills") if "query_skills" in queries.columns else F.array().cast("array<string>")
         return queries.withColumns({"side": F.coalesce(asked, side), "query_skills": F.coalesce(skills, F.array().cast("array<string>")), "free_text": F.trim("text")})
 
-    def _channel_runs(self, side: str, queries: DataFrame, mode: str, only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    def _encoded(self, queries: DataFrame) -> DataFrame:
+        return queries.select("qid", self.encode(F.col("free_text")).alias("vec"))
+
+    def _channel_runs(self, side: str, queries: DataFrame, mode: str, only: tuple[str, ...] | None = None, encoded: DataFrame | None = None) -> dict[str, DataFrame]:
         s, used = getattr(self, side), only or fusion.MODES[mode]
         runs = {}
         if "bm25" in used:
             runs["bm25"] = lexical.search(s.index, queries.select("qid", F.col("free_text").alias("text")), BUDGET)
         if "dense" in used:
-            runs["dense"] = vector.search(s.vectors, queries.select("qid", self.encode(F.col("free_text")).alias("vec")), BUDGET)
+            runs["dense"] = vector.search(s.vectors, self._encoded(queries) if encoded is None else encoded, BUDGET)
         if "kg" in used:
             ids = graph.query_skill_ids(queries, self.canonical, T.service_slug)
             runs["kg"] = (graph.persons if side == "candidates" else graph.jobs)(ids, s.edges, BUDGET)
@@ -129,8 +132,10 @@ class Engine:
                 return {"type": "stage_done", "stage": stage, "elapsed_ms": 1000 * (time.time() - start)}
 
             used = fusion.MODES[mode]
+            if "dense" in used:
+                yield timed("encode", self._encoded(asked))
             for channel in used:
-                yield timed(channel, self._channel_runs(told.side, asked, mode, (channel,))[channel])
+                yield timed(channel, self._channel_runs(told.side, asked, mode, (channel,), held.get("encode"))[channel])
                 runs[channel] = held[channel]
             ranked = fusion.fuse(mode, runs, BUDGET)
             if len(used) > 1:

@@ -335,15 +335,37 @@ _MEASURES = " union all ".join(
 _FIELDS = ", ".join(f"('{f}', '{k}', '{'|'.join(ps)}')" for f, k, ps in introspect.FIELDS)
 
 
-@query(
+_SCORES = (
     f"with people as (select * from customer join nation on c_nationkey = n_nationkey), head as (select *, row_number() over (order by c_custkey) as i from people qualify i <= 50), m as ({_MEASURES}), fields as (select * from (values {_FIELDS}) t(field, kind, part)) "
     "select col as \"column\", field, round(0.6 * case when regexp_matches(col, part) then 1.0 else 0.0 end + 0.4 * case kind when 'primary_key' then 0.7 * u + 0.3 * f when 'numeric' then num when 'json_or_text' then greatest(json, 0.5 * delim, 0.5 * least(tok / 30, 1)) "
     "when 'list_or_csv' then greatest(0.8 * json, delim) when 'long_text' then least(tok / 50, 1) when 'short_text' then greatest(0, least(1 - abs(tok - 4) / 20, 1)) else case when tok between 1.5 and 5 then 1.0 else 0.4 end end, 6)::double as score from m, fields"
 )
+
+
+@query(_SCORES)
 def column_field_scores(spark, d):
+    return introspect.scores(renamed_people(spark, d), "id")
+
+
+def renamed_people(spark, d):
     people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    renamed = people.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_acctbal").alias("yoe"), F.col("n_name").alias("city"), F.concat("c_mktsegment", F.lit(","), "n_name", F.lit(",x")).alias("skills"))
-    return introspect.scores(renamed, "id")
+    return people.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_acctbal").alias("yoe"), F.col("n_name").alias("city"), F.concat("c_mktsegment", F.lit(","), "n_name", F.lit(",x")).alias("skills"))
+
+
+_ORDERED = ", ".join(f"({i}, '{f}')" for i, (f, *_) in enumerate(introspect.FIELDS, 1))
+
+
+@query(
+    f"with recursive sc as ({_SCORES}), cols as (select * from (values {', '.join(f'({i}, {chr(39)}{c}{chr(39)})' for i, c in enumerate(_COLUMNS))}) t(pos, col)), f as (select * from (values {_ORDERED}) t(i, field)), "
+    "best as (select f.i, f.field, list(struct_pack(s := sc.score, c := sc.column) order by sc.score desc, cols.pos) as l from f join sc on sc.field = f.field join cols on cols.col = sc.column group by all), "
+    "r as (select 0 as i, []::varchar[] as used, null::varchar as field, null::varchar as col, null::double as s union all select b.i, case when pick.s >= 0.45 then list_append(used, pick.c) else used end, b.field, case when pick.s >= 0.45 then pick.c end, pick.s "
+    "from (select r.*, b.i as bi, b.field as bf, list_filter(b.l, lambda x: not list_contains(r.used, x.c))[1] as pick from r join best b on b.i = r.i + 1) q join best b on b.i = q.bi) "
+    "select field, col as \"column\", round(coalesce(s, 0), 6) as score, case when col is null then 'absent' when s >= 0.7 then 'high' else 'medium' end as confidence from r where i > 0"
+)
+def field_assignment(spark, d):
+    place = {c: i for i, c in enumerate(_COLUMNS)}
+    found = sorted(((r.column, r.field, r.score) for r in introspect.scores(renamed_people(spark, d), "id").collect()), key=lambda x: place[x[0]])
+    return spark.createDataFrame(introspect.assign(found, [f for f, *_ in introspect.FIELDS]), "field string, column string, score double, confidence string")
 
 
 @query(
