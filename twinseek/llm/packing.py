@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 
 CAPACITY = 2048
 END_ID = 1
-#: Distinct lengths offered to the subset-sum of one window. All lengths take part; those not offered now are offered to a later window.
-OFFERED = 48
 BATCH_TOKENS = 2_000_000
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -93,9 +91,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[tupl
         window = [pop(sizes[-1])]
         room = capacity - window[0][2]
         fit = bisect_right(sizes, room)
-        # Large lengths open windows of their own; small ones, offered evenly over all that fit, fine-tune the sum.
-        offered = sizes[:fit] if fit <= OFFERED else [sizes[k * fit // OFFERED] for k in range(OFFERED)]
-        offered = offered[::-1]
+        offered = sizes[:fit][::-1]  # all that fit; the large ones first, so that small ones are left to complete later windows
         for size, n in zip(offered, best_fill(offered, [len(at[s]) for s in offered], room)):
             window += [pop(size) for _ in range(n)]
             room -= size * n
