@@ -28,7 +28,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _encoders: dict[tuple[str, bool], object] = {}
 
 
-def encoder(name: str, added: bool = False):
+def encoder(name: str, added: bool = True):
     """Encoder of a public vocabulary by file name. The ranks file holds the vocabulary of the .json of the
     same stem and gives the same ids about six times as fast. With added, the .json's added tokens have their
     ids where they occur in a text, as its tokenizer has them by default; else they are plain text."""
@@ -128,13 +128,13 @@ def powers_of_two(window: list[tuple[int, int, int]], used: int) -> list[list[tu
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, batch_tokens: int = BATCH_TOKENS, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, batch_tokens: int = BATCH_TOKENS, added: bool = True) -> DataFrame:
     """One row per piece of docs(doc_id, text): where it starts in its document, how long it is, the CRC-32 of
     its ids, and its place in a sequence.
 
     Every row is packed, also rows that repeat a doc_id (each is a document of its own) and a null doc_id. A
     null or empty text is the end id alone. Any length is cut freely. An empty table gives no pieces.
-    added: the vocabulary's added tokens have their own ids, see encoder().
+    The ids are those of the vocabulary's tokenizer; without added its added tokens are plain text, see encoder().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
