@@ -87,6 +87,18 @@ def test_whole_run_and_empty_table(spark, tmp_path):
     assert 4 <= len(cp.STAGES) <= 5 and cp.ORACLE_SQL is None
 
 
+def test_no_other_columns(spark, tmp_path):
+    d = folder(spark, made()[:20], tmp_path)
+    spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/plain")
+    df = spark.read.parquet(f"{tmp_path}/plain")
+    for name, stage in cp.STAGES[1:4]:
+        then = stage(spark, df, d)
+        assert then.columns == df.columns
+        then.write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+    assert df.count() > 0
+
+
 def test_edited_copies_are_near_duplicates(spark):
     words = [f"w{i * 7919 % 1000}" for i in range(300)]
     copies = [words, [*words[:100], "x", *words[101:]], [w if i % 50 != 20 else f"y{i}" for i, w in enumerate(words)]]
