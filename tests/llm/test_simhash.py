@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 from tests.llm.helpers import docs, rows
@@ -106,10 +107,32 @@ def test_similar_documents_match_brute_force(spark):
 def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch):
     """One bucket for all texts, and predecessors that are mostly of other groups: the rest finds what they miss."""
     monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
-    monkeypatch.setattr(simhash, "bands", lambda shingles: [7] if len(shingles) else [])
+    two = lambda shingles: [7, int(len(shingles)) % 3] if len(shingles) else []
+    monkeypatch.setattr(simhash, "bands", two)
     data = edited(11)
-    got = simhash.similar_documents(docs(spark, data), 5, 0.8).collect()
-    assert sorted((x.doc_id, x.component_id) for x in got) == slow_similar(data)
+    want = slow_similar(data)
+    found = lambda: sorted((x.doc_id, x.component_id) for x in simhash.similar_documents(docs(spark, data), 5, 0.8).collect())
+    assert found() == want
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", 9)
+    assert found() == want
+
+
+def test_sets_are_linked_as_by_brute_force():
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 400, 60)).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.where(r.random(len(b)) < 0.06, 1000 + k, b)) for k, b in enumerate(base * 9)]
+    before, parts = r.integers(0, 12, (len(sets), 2)), r.integers(0, 2, len(sets))
+    for parts_ in (None, parts):
+        label = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                if simhash.jaccard(sets[i], sets[j]) >= 0.8 and not (before[i] == before[j]).any() and (parts_ is None or parts_[i] != parts_[j]):
+                    label[label == label[i]] = label[j]
+        links, mine = simhash.link_sets(sets, np.arange(len(sets)), 0.8, before, parts_), np.arange(len(sets))
+        for i, j in links:
+            assert simhash.jaccard(sets[i], sets[j]) >= 0.8
+            mine[mine == mine[i]] = mine[j]
+        assert len(set(zip(label.tolist(), mine.tolist()))) == len(set(label.tolist())) == len(set(mine.tolist())) and len(links) > 10
 
 
 def test_one_row_of_each_group_stays(spark):

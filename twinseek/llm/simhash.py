@@ -7,7 +7,8 @@ A group holds at most 65 distinct fingerprints, because copies were folded befor
 
 similar_groups is for edited copies, whose fingerprints lie further apart than any ball in reach: MinHash
 bands propose pairs and the Jaccard similarity of the whole texts' shingles decides. No pair of a bucket is left
-out for the bucket's size: what is not compared is connected already, or ruled out by the numbers of shingles.
+out for the bucket's size: what is not compared is connected already, or ruled out by the numbers of shingles. Pairs
+beyond a few predecessors are never made rows: a large bucket's texts meet in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHINGLE_WORDS = 3
 BANDS, BAND_ROWS = 32, 5
 #: Predecessors in a band's bucket that a document is compared with at first; most of a large group is connected then.
 NEIGHBOURS = 8
+#: Documents, and shingles, of a block of a large bucket; a task compares two blocks.
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -141,9 +144,8 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
     and (node, root) for every _fp that is linked to another: the least _fp of its component. Texts are linked where
     their sets of width-word shingles have at least that Jaccard similarity.
 
-    Pairs come from MinHash buckets, each document first with its NEIGHBOURS predecessors; then, where a bucket
-    still holds several components, all members outside the largest with all members of other components. Pairs
-    are verified on whole texts. Null and word-free texts have one _fp and are like each other only.
+    Pairs come from MinHash buckets, each document first with its NEIGHBOURS predecessors; then, where a larger bucket
+    still holds several components, all members of different components in blocks. Pairs are verified on whole texts. Null and word-free texts have one _fp and are like each other only.
     """
     spark = docs.sparkSession
     scratch, names = Scratch(spark), docs.columns
@@ -171,7 +173,7 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
     # always a merge join: the plan is then the same at every size.
     ends = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     rows = signed.groupBy(F.col("_fp").alias("fp")).agg(F.min("_rid").alias("rid")).join(ends, "fp").select("rid")
-    texts = scratch.keep(signed.select(F.col("_fp").alias("fp"), "text", "_rid").join(rows.hint("merge"), F.col("_rid") == F.col("rid")).select("fp", "text"))
+    texts = scratch.keep(signed.select(F.col("_fp").alias("fp"), "text", F.col("_bands").alias("bands"), "_rid").join(rows.hint("merge"), F.col("_rid") == F.col("rid")).select("fp", "text", "bands"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         end = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
@@ -184,27 +186,71 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
     # Direct predecessors first. They join most of a large group, so that few of the other pairs need their texts.
     fitting = near.where("fits")
     roots = components(verified(fitting.where("nth = 0")), scratch)
-    for rest in (lambda: apart(fitting.where("nth > 0"), roots), lambda: _across(posts, near, roots, fits)):
-        pairs = scratch.keep(rest())
-        if not pairs.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(verified(pairs)), scratch)
+    more = lambda links: components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), scratch)
+    pairs = scratch.keep(apart(fitting.where("nth > 0"), roots))
+    if not pairs.isEmpty():
+        roots = more(verified(pairs))
+    links = scratch.keep(_across(posts, texts, roots, width, similarity))
+    if not links.isEmpty():
+        roots = more(links)
     for done in (posts, near, texts):
         scratch.drop(done)
     return signed.drop("_n", "_bands"), roots
 
 
-def _across(posts: DataFrame, near: DataFrame, roots: DataFrame, fits) -> DataFrame:
-    """Pairs (u, v) of different components that share a bucket and were not proposed before. Of a bucket only
-    members outside its largest component look for partners, so a large group meets the few that are left over, not itself."""
-    full = posts.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where(F.col("size") > NEIGHBOURS + 1)  # smaller ones are done
-    member = full.join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    part = member.groupBy("band", "root").agg(F.count("*").alias("size"))
-    most = part.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = member.join(most.select("band", "most"), "band")
-    few = open_.where("root <> most").select("band", F.col("fp").alias("f"), F.col("n").alias("fn"), F.col("root").alias("fr"))
-    met = few.join(open_, "band").where((F.col("fr") != F.col("root")) & fits(F.col("fn"), F.col("n")) & ((F.col("root") == F.col("most")) | (F.col("f") < F.col("fp"))))
-    pairs = met.select(F.least("f", "fp").alias("u"), F.greatest("f", "fp").alias("v")).distinct()
-    return pairs.join(near.select("u", "v"), ["u", "v"], "left_anti")
+def _across(posts: DataFrame, texts: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) between components that share a bucket of more than NEIGHBOURS + 1 texts. Such a bucket is cut
+    into blocks of bounded size, and each task compares the texts of two blocks, so that a bucket's pairs are
+    never rows. A pair that shares several buckets is compared in the first."""
+    whole = Window.partitionBy("band")
+    large = posts.withColumns({"size": F.count("*").over(whole), "shingles": F.sum("n").over(whole)}).where(F.col("size") > NEIGHBOURS + 1)
+    member = large.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    several = member.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = member.join(several, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    each = placed.select("band", "fp", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("band", "fp", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("fp")
+        fps, block, band = rows.column("fp").to_numpy(), rows.column("block").to_numpy(), rows.column("band")[0].as_py()
+        shared = np.array(rows.column("bands").to_pylist(), np.int64)
+        at = int(np.flatnonzero(shared[0] == band)[0])
+        alone = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        links = link_sets([shingle_set(t.as_py() or b"", width) for t in rows.column("text").cast(pa.binary())], rows.column("root").to_numpy(), similarity, shared[:, :at], None if alone else block)
+        return pa.table([pa.array([int(fps[i]) for i, _ in links], pa.int64()), pa.array([int(fps[j]) for _, j in links], pa.int64())], ["u", "v"])
+
+    return each.join(texts, "fp").groupBy("band", "low", "high").applyInArrow(compare, "u long, v long")
+
+
+def link_sets(sets: list[np.ndarray], roots: np.ndarray, similarity: float, before: np.ndarray, parts: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets at least `similarity` alike that connect different roots, enough of them to connect all
+    that are. Pairs that agree in a column of `before` are left to others, and with parts those of one part."""
+    n = np.array([len(s) for s in sets], np.int64)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(number, kind="stable")
+    owners, first = owner[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+    starts, label, out = np.concatenate([[0], np.cumsum(n)]), np.unique(roots, return_inverse=True)[1], []
+    for i in range(1, len(sets)):
+        may = (label[:i] != label[i]) & (np.minimum(n[:i], n[i]) >= similarity * np.maximum(n[:i], n[i]))
+        if parts is not None:
+            may &= parts[:i] != parts[i]
+        may = np.flatnonzero(may)
+        if len(may) and before.shape[1]:
+            may = may[~(before[may] == before[i]).any(axis=1)]
+        if not len(may):
+            continue
+        if len(may) < 16:
+            common = np.array([len(np.intersect1d(sets[j], sets[i], assume_unique=True)) for j in may])
+        else:
+            mine = number[starts[i] : starts[i + 1]]
+            common = np.bincount(np.concatenate([owners[first[k] : first[k + 1]] for k in mine]), minlength=len(sets))[may]
+        for j in may[common >= similarity * (n[may] + n[i] - common) - 1e-9]:
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def similar_documents(docs: DataFrame, width: int, similarity: float) -> DataFrame:
