@@ -75,10 +75,10 @@ def test_blocks_hold_about_as_many_rows_each(spark):
 
 
 def test_texts_are_shuffled_once(spark, tmp_path):
-    docs(spark, rows(["the one text"] * 600)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs(spark, rows([f"the text {i}" for i in range(900)])).write.parquet(f"{tmp_path}/documents.parquet")
     plan = registry.op3_spot_signatures(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and len(set(re.findall(r"Exchange hashpartitioning\(block#\d+, \d+\), REPARTITION", re.sub(r"#\d+", "#0", plan)))) == 1
-    assert "WindowGroupLimit" not in plan
+    assert "WindowGroupLimit" not in plan and "isnotnull(block" not in plan
 
 
 def test_partitions_keep_similar_sets_together(spark):

@@ -91,7 +91,8 @@ def blocks(rows: DataFrame) -> Column:
     bounds = F.from_json(F.lit(json.dumps(runs)), "array<array<struct<n:boolean,i:bigint,t:string>>>")
     below = lambda bs, p: F.size(F.filter(bs, lambda b: b < p))
     run = lambda p: F.size(F.filter(bounds, lambda bs: F.element_at(bs, -1) < p))
-    return let(place, lambda p: let(run(p), lambda k: k * width + F.coalesce(below(F.get(bounds, k), p), F.lit(0))))
+    found = let(place, lambda p: let(run(p), lambda k: k * width + F.coalesce(below(F.get(bounds, k), p), F.lit(0))))
+    return F.coalesce(found, F.lit(0))  # never null, so that no join filters nulls out below the one shuffle
 
 
 def with_next(docs: DataFrame) -> DataFrame:
