@@ -42,7 +42,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the least doc_id; of rows that share it, and after
-    all others of rows that lack it, the first by hash of its columns."""
+    all others of rows that lack it, the first by hash of its columns. Groups come from SimHash balls, verified on
+    whole texts, and from MinHash bands where fingerprints of similar texts lie beyond the balls."""
     return _outer(simhash.first_of_groups(_inner(docs), NEAR_WORDS, NEAR_SIMILARITY), docs)
 
 

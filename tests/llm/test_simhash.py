@@ -104,6 +104,64 @@ def test_similar_documents_match_brute_force(spark):
     assert simhash.similar_documents(docs(spark, []), 5, 0.8).collect() == []
 
 
+def test_edited_copies_are_found_by_balls(spark, monkeypatch):
+    """Without any MinHash band the fingerprints' balls must link what lies within their radius."""
+    monkeypatch.setattr(simhash, "bands", lambda shingles: [])
+    words = [f"w{i * 7919 % 1000}" for i in range(300)]
+    copies = [words, [*words[:100], "x", *words[101:]], [w if i % 50 != 20 else f"y{i}" for i, w in enumerate(words)]]
+    other = [w if i % 10 else "o" for i, w in enumerate(words)]
+    data = rows([" ".join(w) for w in [*copies, other]])
+    fps = [simhash.set_fingerprint(simhash.shingle_set(t.encode(), 5)) for _, t, *_ in data]
+    assert all(2 < bin(fps[0] ^ f).count("1") <= simhash.WIDE_RADIUS or f == fps[0] for f in fps[:3])
+    got = simhash.similar_documents(docs(spark, data), 5, 0.8).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+
+
+def test_wide_links_match_brute_force(spark):
+    """Pairs of every distance around the radius, a crowd that shares its variants, and equal fingerprints of different texts."""
+    r = random.Random(9)
+    flip = lambda f, k: f ^ sum(1 << b for b in r.sample(range(64), k))
+    sims = [0, (1 << 64) - 1, 1 << 63]
+    for k in range(300):
+        sims.append(r.getrandbits(64))
+        sims.append(flip(sims[-1], k % 16))
+    crowd = r.getrandbits(64)
+    sims += [flip(crowd, r.randrange(9)) for _ in range(300)] + [crowd] * 3
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    nodes = [(k, r.choice([100, 100, 100, 60]), signed(f)) for k, f in enumerate(sims)] + [(9999, 0, 0)]
+    like = lambda a, b: bin((a[2] ^ b[2]) & ((1 << 64) - 1)).count("1") <= radius and min(a[1], b[1]) >= 0.8 * max(a[1], b[1])
+
+    def classes(pairs):
+        of = {f: f for f, *_ in nodes}
+        for a, b in pairs:
+            if of[a] != of[b]:
+                gone, stay = of[a], of[b]
+                of = {f: stay if g == gone else g for f, g in of.items()}
+        least = {}
+        for f in sorted(of):
+            least.setdefault(of[f], f)
+        return {f: least[g] for f, g in of.items()}
+
+    for radius in (simhash.WIDE_RADIUS, 7):
+        want = classes((a[0], b[0]) for k, a in enumerate(nodes[:-1]) for b in nodes[:k] if like(a, b))
+        table = spark.createDataFrame(nodes, "fp long, n long, sim long")
+        found = [tuple(x) for x in simhash.wide_links(table, radius, 0.8).collect()]
+        assert classes(found) == want and all(like(nodes[a], nodes[b]) for a, b in found)
+    assert simhash.wide_links(table.where("false"), 11, 0.8).collect() == []
+
+
+def test_keys_are_never_parted():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    keys = sorted(r.choice([1, 2, 3, 3, 3, 3, 9, *range(20, 40)]) for _ in range(200))
+    for size in (1, 3, 50, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(range(i, min(200, i + size)))], ["key", "row"]) for i in range(0, 200, size)]
+        got = [(k.tolist(), v.tolist()) for k, v in simhash._whole_keys(iter(batches))]
+        assert sum((v for _, v in got), []) == list(range(200)) and sum((k for k, _ in got), []) == keys
+        assert all(a[0][-1] < b[0][0] for a, b in zip(got, got[1:]))
+
+
 def test_no_pair_of_a_large_bucket_is_lost(spark, monkeypatch):
     """One bucket for all texts, and predecessors that are mostly of other groups: the rest finds what they miss."""
     monkeypatch.setattr(simhash, "NEIGHBOURS", 1)

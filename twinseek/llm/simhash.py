@@ -5,10 +5,14 @@ neighbours for radius 2). Two fingerprints within the radius share a variant, an
 within the radius, so after a shuffle on the variants each group is linked as a chain, never as all pairs.
 A group holds at most 65 distinct fingerprints, because copies were folded before.
 
-similar_groups is for edited copies, whose fingerprints lie further apart than any ball in reach: MinHash
-bands propose pairs and the Jaccard similarity of the whole texts' shingles decides. No pair of a bucket is left
-out for the bucket's size: what is not compared is connected already, or ruled out by the numbers of shingles. Pairs
-beyond a few predecessors are never made rows: a large bucket's texts meet in tasks of bounded size.
+similar_groups is for edited copies, whose fingerprints lie further apart than a ball of all 64 bits reaches. Its
+fingerprints are cut into blocks, and every block emits its ball: of two fingerprints within WIDE_RADIUS some block
+differs in at most two bits, so they share a variant of it, and all that share one are compared. Of the
+pairs within the radius as many become links as connect them, and the Jaccard similarity of the whole texts' shingles
+decides. Where that parts a chain, or texts are alike though their fingerprints lie further apart, pairs come from
+MinHash bands afterwards. No pair of a band's bucket is left out for the bucket's size: what is not compared is
+connected already, or ruled out by the numbers of shingles. Pairs beyond a few predecessors are never made rows: a
+large bucket's texts meet in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .common import Scratch
 
 HALF_RADIUS = 1
 SHINGLE_WORDS = 3
+#: Differing bits up to which every pair of fingerprints meets in similar_groups: three to a block, less one.
+WIDE_RADIUS = 11
 #: MinHash bands and the minima of a band: a pair of Jaccard similarity 0.8 shares no band three times in a million.
 BANDS, BAND_ROWS = 32, 5
 #: Predecessors in a band's bucket that a document is compared with at first; most of a large group is connected then.
@@ -46,7 +52,11 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
         shingles = map(b" ".join, zip(words, words[1:], words[2:]))
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    raw = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8)
+    return _voted(np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8))
+
+
+def _voted(raw: np.ndarray) -> int:
+    """The bits that over half of the big-endian hashes have, as a signed number."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(raw), 1 << 16):
         votes += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
@@ -77,6 +87,85 @@ def ball_links(nodes: DataFrame) -> DataFrame:
     )
 
 
+def wide_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (u, v) of the distinct `fp` of nodes(fp, n, sim) that connect them exactly as 'sim differs in at most
+    radius bits, and n is similar enough' does. radius is 3 to 63.
+
+    Blocks of sim emit their balls of half radius HALF_RADIUS. A variant's holders meet in one task, sorted by sim;
+    pairs that are connected already, mostly by their neighbours, are not compared, and no pair is made a row before.
+    """
+    blocks = radius // (2 * HALF_RADIUS + 1) + 1
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    variants = []
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        block = F.shiftrightunsigned("sim", low).bitwiseAND(F.lit((1 << high - low) - 1)).bitwiseOR(F.lit(k << high - low).cast("long"))
+        # A one before the number of the block: no key of one block is one of another, however wide they are.
+        block = block.bitwiseOR(F.lit(1 << (high - low + blocks.bit_length())).cast("long"))
+        variants += [block.bitwiseXOR(F.lit(flip).cast("long")) for flip in (0, *(1 << i for i in range(high - low)))]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sim, fp, n in _whole_keys(batches):
+            i, j = close_pairs(key, sim.view(np.uint64), n, radius, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["u", "v"])
+
+    balls = nodes.where("n > 0").select(F.explode(F.array(*variants)).alias("key"), "sim", "fp", "n")
+    met = balls.repartition("key").sortWithinPartitions("key", "sim", "fp").mapInArrow(meet, "u long, v long")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by the first, cut anew so that no value of it is parted."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        rows = [c.to_numpy() for c in b.columns]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if held and (cut or held[-1][0][-1] != rows[0][-1]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in rows])]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in rows]
+        held.append([c[cut:] for c in rows])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def close_pairs(key: np.ndarray, sim: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one key whose sim differs in at most radius bits and whose n is similar enough: enough of them to
+    connect all that are. Keys ascend."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+
+    def close(i: np.ndarray, step: int) -> np.ndarray:
+        i = i[np.bitwise_count(sim[i] ^ sim[i + step]) <= radius]
+        return i[np.minimum(n[i], n[i + step]) >= similarity * np.maximum(n[i], n[i + step])]
+
+    at = np.flatnonzero(np.arange(len(key)) + 1 < end)
+    first = close(at, 1)
+    left, right = [first], [first + 1]
+    # A label is the first row of those connected to it by their neighbours, then any that such share.
+    label = np.arange(len(key))
+    label[first + 1] = 0
+    label = np.maximum.accumulate(label)
+    step = 2
+    while len(at):
+        if step & (step - 1) == 0:
+            whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+            at = at[~np.repeat(whole, sizes)[at]]
+        at = at[at + step < end[at]]
+        near = close(at, step)
+        for i in near[label[near] != label[near + step]].tolist():
+            if label[i] != label[i + step]:
+                group = label[start[i] : end[i]]
+                group[group == label[i + step]] = label[i]
+                left.append([i])
+                right.append([i + step])
+        step += 1
+    return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the least node of each node's component, for nodes that have a link.
 
@@ -114,6 +203,11 @@ def _signed(data: bytes, seed: int = 0) -> int:
     return int.from_bytes(xxhash.xxh64_digest(data, seed), "big", signed=True)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles, each counted once: equal sets have equal ones."""
+    return _voted(shingles.astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
 def shingle_key(text: bytes, width: int) -> int:
     """A number that texts share if they have the same set of shingles."""
     return _signed(shingle_set(text, width).tobytes())
@@ -144,18 +238,20 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
     and (node, root) for every _fp that is linked to another: the least _fp of its component. Texts are linked where
     their sets of width-word shingles have at least that Jaccard similarity.
 
-    Pairs come from MinHash buckets, each document first with its NEIGHBOURS predecessors; then, where a larger bucket
-    still holds several components, all members of different components in blocks. Pairs are verified on whole texts. Null and word-free texts have one _fp and are like each other only.
+    Pairs come from SimHash balls. Where these leave texts apart, pairs come from MinHash buckets, each document first
+    with its NEIGHBOURS predecessors; then, where a larger bucket still holds several components, all members of
+    different components in blocks. Pairs are verified on whole texts. Null and word-free texts have one _fp and are
+    like each other only.
     """
     spark = docs.sparkSession
     scratch, names = Scratch(spark), docs.columns
-    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], "_fp long, _n long, _bands array<long>").schema.fields])
+    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], "_fp long, _n long, _sim long, _bands array<long>").schema.fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py() or b"", width) for t in b.column("text").cast(pa.binary())]
-            more = [pa.array([_signed(s.tobytes()) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, "_fp", "_n", "_bands"])
+            more = [pa.array([f(s) for s in sets], pa.int64()) for f in (lambda s: _signed(s.tobytes()), len, set_fingerprint)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], [*names, "_fp", "_n", "_sim", "_bands"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,6 +259,8 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
             yield b.select(["u", "v"]).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(*sets)], pa.bool_()))
 
     signed = scratch.keep(docs.mapInArrow(sign, schema).withColumn("_rid", F.monotonically_increasing_id()))
+    nodes = signed.select(F.col("_fp").alias("fp"), F.col("_n").alias("n"), F.col("_sim").alias("sim")).distinct()
+    close = scratch.keep(wide_links(nodes, WIDE_RADIUS, similarity))
     bucket = Window.partitionBy("band").orderBy("fp")
     posts = scratch.keep(signed.groupBy(F.col("_fp").alias("fp"), F.col("_n").alias("n")).agg(F.first("_bands").alias("bands")).select("fp", "n", F.explode("bands").alias("band")))
     before = F.array(*(F.struct(F.lag("fp", k).over(bucket).alias("u"), F.lag("n", k).over(bucket).alias("m")) for k in range(1, NEIGHBOURS + 1)))
@@ -171,7 +269,7 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
     near = scratch.keep(near.groupBy(F.col("b.u").alias("u"), F.col("fp").alias("v")).agg(F.min("nth").alias("nth"), F.first(fits(F.col("n"), F.col("b.m"))).alias("fits")))
     # One row of each text that has a neighbour. By the row's number, so that many copies of a text are no hot key, and
     # always a merge join: the plan is then the same at every size.
-    ends = near.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    ends = near.select("u", "v").union(close).select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     rows = signed.groupBy(F.col("_fp").alias("fp")).agg(F.min("_rid").alias("rid")).join(ends, "fp").select("rid")
     texts = scratch.keep(signed.select(F.col("_fp").alias("fp"), "text", F.col("_bands").alias("bands"), "_rid").join(rows.hint("merge"), F.col("_rid") == F.col("rid")).select("fp", "text", "bands"))
 
@@ -183,19 +281,19 @@ def similar_groups(docs: DataFrame, width: int, similarity: float) -> tuple[Data
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
 
-    # Direct predecessors first. They join most of a large group, so that few of the other pairs need their texts.
-    fitting = near.where("fits")
-    roots = components(verified(fitting.where("nth = 0")), scratch)
+    roots = components(verified(close), scratch)
     more = lambda links: components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), scratch)
-    pairs = scratch.keep(apart(fitting.where("nth > 0"), roots))
-    if not pairs.isEmpty():
-        roots = more(verified(pairs))
+    # Of the bands, direct predecessors first. They join most of a large group, so that few of the other pairs need their texts.
+    for nth in ("nth = 0", "nth > 0"):
+        pairs = scratch.keep(apart(near.where("fits").where(nth), roots))
+        if not pairs.isEmpty():
+            roots = more(verified(pairs))
     links = scratch.keep(_across(posts, texts, roots, width, similarity))
     if not links.isEmpty():
         roots = more(links)
-    for done in (posts, near, texts):
+    for done in (close, posts, near, texts):
         scratch.drop(done)
-    return signed.drop("_n", "_bands"), roots
+    return signed.drop("_n", "_sim", "_bands"), roots
 
 
 def _across(posts: DataFrame, texts: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
