@@ -124,6 +124,20 @@ def test_leader_clusters_match_the_sequential_rule(spark, least):
     assert {x.id: x.centroid for x in got} == want
 
 
+def test_leader_clusters_keep_no_pairs(spark, monkeypatch):
+    """Tables between rounds have a row for each vector at most, however many vectors are alike; rounds settle the rest."""
+    rows = [(i, [1.0, 0.01 * (i % 3)] if i < 900 else [math.cos(i), math.sin(i)], i) for i in range(1000)]
+    df = frame(spark, rows, "id long, vec array<float>, ord long")
+    want = sorted(map(tuple, canonical.cluster(df, 0.99).collect()))
+    kept, durable = [], canonical.durable
+    monkeypatch.setattr(canonical, "durable", lambda x: (y := durable(x), kept.append(y.count()))[0])
+    monkeypatch.setattr(canonical, "BLOCK_VALUES", 100, raising=False)
+    monkeypatch.setattr(canonical, "TILE_VALUES", 40, raising=False)
+    got = sorted(map(tuple, canonical.cluster(df, 0.99).collect()))
+    assert max(kept) <= len(rows) and [(i, c) for i, c, _ in got] == [(i, c) for i, c, _ in want]
+    assert [i for i, _, _ in got] == list(range(1000)) and {c for i, c, _ in got if i < 900} == {0}
+
+
 def test_canonical_layers(spark):
     skills = frame(spark, [("py",), ("Amazon Web Services",), ("rust lang",), (" ",)], "raw_name string")
     aliases = frame(spark, [("py", "Python")], "alias string, canonical_name string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalise, service_slug, title_case, word_set
 from ..session import durable
-from .vector import BLOCK_VALUES, unit
+from .vector import matrix, unit
 
 ONTOLOGY_LEAST, CLUSTER_LEAST = 0.7, 0.92
 
@@ -31,59 +31,90 @@ def by_ontology(skills: DataFrame, labels: DataFrame, least: float = ONTOLOGY_LE
     return skills.join(hit.withColumnRenamed("title", "canonical_name"), "raw_name").withColumns({"canonical_id": service_slug(F.col("canonical_name")), "source": F.lit("ontology")})
 
 
-def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(id, ord, earlier, earlier_ord, similarity) for rows(id, vec, ord) at least `least` alike, the earlier one
-    by ord named second. Vectors go through in blocks of bounded size, each against all rows."""
-    kind = rows.schema["id"].dataType.simpleString()
-    some = rows.select("id", "vec", "ord").first()
-    step = max(1, BLOCK_VALUES // max(1, len(some.vec))) if some else 1
-    parts, seen = [], None
-    while True:
-        ahead = rows if seen is None else rows.where((F.col("ord") > seen[0]) | ((F.col("ord") == seen[0]) & (F.col("id") > seen[1])))
-        block = ahead.select("id", "vec", "ord").orderBy("ord", "id").limit(step).collect()
-        if not block:
-            break
-        shared = rows.sparkSession.sparkContext.broadcast(([r.id for r in block], np.array([r.ord for r in block]), unit([r.vec for r in block])))
-
-        def run(batches, shared=shared):
-            names, order, q = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column("ord").to_numpy(zero_copy_only=False)
-                s = unit(b.column("vec").to_pylist()) @ q.T
-                i, j = np.nonzero((s >= least) & (order[None, :] < own[:, None]))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(i)), pa.array(own[i]), pa.array([names[k] for k in j], b.column("id").type), pa.array(order[j]), pa.array(s[i, j])], ["id", "ord", "earlier", "earlier_ord", "similarity"])
-
-        parts.append(rows.select("id", "vec", "ord").mapInArrow(run, f"id {kind}, ord long, earlier {kind}, earlier_ord long, similarity double"))
-        seen = (block[-1].ord, block[-1].id)
-        if len(block) < step:
-            break
-    out = parts[0] if parts else rows.sparkSession.createDataFrame([], f"id {kind}, ord long, earlier {kind}, earlier_ord long, similarity double")
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
+#: Numbers in the vectors that the driver looks for leaders in at a time, and in the products that a task holds at once.
+BLOCK_VALUES, TILE_VALUES = 1 << 20, 4 << 20
+
+
+def first_best(s: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of s the first column of the greatest value, rounded to 9 places, among those of at least `least`,
+    and that value; minus infinity where none is."""
+    if not s.shape[1]:
+        return np.zeros(len(s), np.int64), np.full(len(s), -np.inf)
+    most = s.max(axis=1)
+    at = (s >= np.maximum(most - 2e-9, least)[:, None]).argmax(axis=1)
+    value = s[np.arange(len(s)), at]
+    for i in np.flatnonzero((np.round(value, 9) != np.round(most, 9)) & (most >= least)):
+        at[i] = np.flatnonzero((np.round(s[i], 9) == np.round(most[i], 9)) & (s[i] >= least))[0]
+        value[i] = s[i, at[i]]
+    return at, np.where(most >= least, value, -np.inf)
+
+
+def leaders(u: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaders among the unit vectors u in their order: their places, and for each vector the place in them of the
+    leader it joins and the similarity; a leader joins itself."""
+    led, at, value = np.zeros(0, np.int64), np.zeros(len(u), np.int64), np.ones(len(u))
+    step = max(1, min(256, TILE_VALUES // max(1, len(u))))
+    for start in range(0, len(u), step):
+        tile, new = u[start : start + step], []
+        old_at, old = first_best(tile @ u[led].T, least)
+        within = tile @ tile.T
+        for i in range(len(tile)):
+            k, v = first_best(within[i : i + 1, new], least)
+            if max(old[i], v[0]) < least:
+                at[start + i] = len(led) + len(new)
+                new.append(i)
+            elif np.round(old[i], 9) >= np.round(v[0], 9):
+                at[start + i], value[start + i] = old_at[i], old[i]
+            else:
+                at[start + i], value[start + i] = len(led) + k[0], v[0]
+        led = np.concatenate([led, start + np.array(new, np.int64)])
+    return led, at, value
 
 
 def cluster(rows: DataFrame, least: float = CLUSTER_LEAST) -> DataFrame:
     """(id, centroid, similarity) of rows(id, vec, ord): leaders in the order of `ord` — a row joins the most
     similar earlier leader if it is at least `least` similar, else it becomes one. ord is a unique long.
 
-    The sequential result in parallel rounds: a row is a leader if none of its earlier neighbours is one, and
-    each round settles the rows whose earlier neighbours are settled. Only similar pairs are kept.
+    The sequential result in rounds. The driver finds the leaders in a block of the first rows that are still open;
+    all later rows are then compared with these, and those that have found one are open no longer. Each row keeps the
+    best leader of a round only. Blocks and products are of bounded size; the work is rows times leaders.
     """
-    pairs = durable(similar_pairs(rows, least))
-    state = durable(rows.select("id", F.lit(None).cast("boolean").alias("leader")))
-    while True:
-        near = pairs.join(state.withColumnRenamed("id", "earlier").withColumnRenamed("leader", "_l"), "earlier")
-        told = near.groupBy("id").agg(F.max(F.coalesce("_l", F.lit(False))).alias("any"), F.count(F.when(F.col("_l").isNull(), 1)).alias("open"))
-        now = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("any"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = durable(state.join(told, "id", "left").select("id", now.alias("leader")))
-        if not state.where("leader is null").limit(1).count():
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, centroid {kind}, similarity double, led_by long"
+    rows = durable(rows.select("id", "vec", "ord").repartition(2 * spark.sparkContext.defaultParallelism, "id"))
+    some = rows.first()
+    step = max(1, BLOCK_VALUES // max(1, len(some.vec))) if some else 1
+    left, out = rows, spark.createDataFrame([], schema)
+    while block := left.orderBy("ord").limit(step).collect():
+        ids, order = [r.id for r in block], np.array([r.ord for r in block])
+        u = unit([r.vec for r in block])
+        led, at, value = leaders(u, least)
+        own = spark.createDataFrame([(i, ids[led[k]], float(v), int(order[led[k]])) for i, k, v in zip(ids, at, value)], schema)
+        shared = spark.sparkContext.broadcast(([ids[i] for i in led], order[led], u[led], order))
+
+        def run(batches, shared=shared):
+            names, first, q, settled = shared.value
+            size = max(1, TILE_VALUES // len(q))
+            for b in batches:
+                place = b.column("ord").to_numpy(zero_copy_only=False)
+                later = np.flatnonzero((place > first[0]) & ~np.isin(place, settled))
+                for start in range(0, len(later), size):
+                    i = later[start : start + size]
+                    s = unit(matrix(b.column("vec").take(pa.array(i)))) @ q.T
+                    if place[i].min() <= first[-1]:
+                        s[first[None, :] >= place[i][:, None]] = -np.inf
+                    k, v = first_best(s, least)
+                    i, k, v = i[hit := v >= least], k[hit], v[hit]
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(i)), pa.array([names[x] for x in k], b.column("id").type), pa.array(v), pa.array(first[k])], ["id", "centroid", "similarity", "led_by"])
+
+        found = durable(rows.where(F.col("ord") > int(order[led[0]])).mapInArrow(run, schema).union(own))
+        shared.destroy()
+        out = out.union(found)
+        if len(block) < step:
             break
-    led = pairs.join(state.where("leader").select(F.col("id").alias("earlier")), "earlier", "left_semi")
-    best = led.groupBy("id").agg(F.max_by(F.struct("earlier", "similarity"), F.struct(F.round("similarity", 9), -F.col("earlier_ord"))).alias("b"))
-    return state.join(best, "id", "left").select("id", F.when(F.col("leader"), F.col("id")).otherwise(F.col("b.earlier")).alias("centroid"), F.when(F.col("leader"), 1.0).otherwise(F.col("b.similarity")).alias("similarity"))
+        left = durable(left.where(F.col("ord") > int(order[-1])).join(found.select("id"), "id", "left_anti"))
+    best = F.max_by(F.struct("centroid", "similarity"), F.struct(F.round("similarity", 9), -F.col("led_by")))
+    return out.groupBy("id").agg(best.alias("b")).select("id", "b.centroid", "b.similarity")
 
 
 def layers(*found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / ((norm(a) + 1e-12) * (norm(b) + 1e-12))
 
 
-def unit(rows: list) -> np.ndarray:
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors of a list column, all of one length, as rows."""
+    if len(pc.unique(pc.list_value_length(vectors))) > 1:
+        raise ValueError("vectors of one length expected")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def unit(rows: list | np.ndarray) -> np.ndarray:
     m = np.array(rows, np.float64).reshape(len(rows), -1)
     return m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-12)
 
