@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions import text as T
-from twinseek.operators import canonical, evalset, fusion, graph, introspect, lexical, metrics, vector
+from twinseek.operators import canonical, evalset, fusion, graph, introspect, lexical, matching, metrics, vector
 from twinseek.plans.engine import Engine, Side
 
 
@@ -72,6 +72,39 @@ def test_graph_scores_by_hand(spark):
     assert graph.persons(ask("python", "sql"), edges, min_overlap=2).count() == 1
 
 
+def test_best_matches_are_those_of_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    some = lambda n: sorted(r.sample(range(12), n))
+    left = [(i, some(r.randint(0, 6))) for i in range(60)] + [(60, [99])]
+    right = [(f"j{i}", some(r.randint(0, 4))) for i in range(150)] + [("j150", [77])]
+    want = set()
+    for i, a in left:
+        all_ = sorted((-round(len({*a} & {*b}) / len({*a} | {*b}), 9), j) for j, b in right if {*a} & {*b})
+        want |= {(i, j, -s) for s, j in all_[:3]}
+    frames = frame(spark, left, "id long, items array<long>"), frame(spark, right, "id string, items array<long>")
+    for block, tile in ((1 << 20, 1 << 10), (40, 7)):
+        monkeypatch.setattr(matching, "BLOCK_SETS", block)
+        monkeypatch.setattr(matching, "TILE_SETS", tile)
+        assert {(x.left, x.right, round(x.score, 9)) for x in matching.best(*frames, 3).collect()} == want
+
+
+def test_equal_queries_are_answered_once(spark):
+    """Rows that meet grow with different queries, not with queries."""
+    edges = frame(spark, [(f"job_{i}", s, "must_have") for i in range(50) for s in ("a", "b")], "job_id string, skill_id string, priority string")
+    asked = frame(spark, [(f"q{i}", 0, "a") for i in range(40)] + [("z", 0, "a"), ("z", 1, "a"), ("y", 0, "b")], "qid string, pos int, skill_id string")
+    made = []
+
+    def overlap(asked, *more, f=graph.overlap):
+        made.append((out := f(asked, *more)).count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph, "overlap", overlap)
+        got = {(r.qid, r.doc_id, r.score, r.overlap, r["rank"]) for r in graph.jobs(asked, edges, 2).collect()}
+    assert made == [150]
+    assert got == {(q, f"job_{i}", s, 1, i + 1) for q, s in [(f"q{i}", 3.0) for i in range(40)] + [("z", 6.0), ("y", 3.0)] for i in (0, 1)}
+
+
 def run(spark, docs):
     return frame(spark, [("q", d, 1.0 / (i + 1), i + 1) for i, d in enumerate(docs)], "qid string, doc_id string, score double, rank int")
 
