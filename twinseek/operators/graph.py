@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORY_WEIGHT, PRIORITY_WEIGHT
+from ..session import durable
 from .lexical import top_k
 
 
@@ -27,23 +28,36 @@ def overlap(asked: DataFrame, edges: DataFrame, doc_id: str, value: Column) -> D
     """(qid, doc_id, score, overlap) of asked(qid, skill_id) over edges: a skill asked twice scores twice, all
     edges of a pair add up, the overlap counts it once. Both sides are summed before they meet, and edges of
     skills that nobody asks for are left out before they are summed."""
-    wanted = asked.groupBy("qid", "skill_id").agg(F.count("*").alias("_times"))
+    wanted = durable(asked.groupBy("qid", "skill_id").agg(F.count("*").alias("_times")))
     named = edges.join(wanted.select("skill_id").distinct(), "skill_id", "left_semi")
     summed = named.groupBy("skill_id", F.col(doc_id).alias("doc_id")).agg(F.sum(value).alias("_value"))
-    hits = wanted.join(summed, "skill_id")
+    hits = summed.join(wanted, "skill_id")
     return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("_times") * F.col("_value")).alias("score"), F.count("*").alias("overlap"))
 
 
-def persons(asked: DataFrame, has_skill: DataFrame, k: int = 100, min_overlap: int = 1) -> DataFrame:
+def ranked(asked: DataFrame, edges: DataFrame, key: str, value: Column, k: int, min_overlap: int, named: str) -> DataFrame:
+    """(qid, doc_id, score, overlap, rank): the k best by overlap(). Queries that ask for the same skills the same
+    number of times are answered once. With named, keys are numbers and doc_id is the number behind that text."""
+    times = asked.groupBy("qid", "skill_id").agg(F.count("*").alias("n"))
+    same = times.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("skill_id", "n"))).alias("_all"))
+    groups = durable(same.groupBy("_all").agg(F.collect_list("qid").alias("qids")).withColumn("_one", F.element_at("qids", 1)))
+    once = asked.join(groups.select(F.col("_one").alias("qid")), "qid", "left_semi")
+    scored = overlap(once, edges, key, value).where(F.col("overlap") >= min_overlap)
+    scored = scored.withColumn("doc_id", F.concat(F.lit(named), "doc_id")) if named else scored
+    best = top_k(scored, k, F.col("overlap").desc())
+    return best.withColumnRenamed("qid", "_one").join(groups.select("_one", F.explode("qids").alias("qid")), "_one").select("qid", "doc_id", "score", "overlap", "rank")
+
+
+def persons(asked: DataFrame, has_skill: DataFrame, k: int = 100, min_overlap: int = 1, key: str = "person_id", named: str = "") -> DataFrame:
     """(qid, doc_id, score, overlap, rank) by proficiency times category weight; a null proficiency counts 1."""
     value = F.coalesce("proficiency", F.lit(1)) * weight(F.col("category"), CATEGORY_WEIGHT)
-    return top_k(overlap(asked, has_skill, "person_id", value).where(F.col("overlap") >= min_overlap), k, F.col("overlap").desc())
+    return ranked(asked, has_skill, key, value, k, min_overlap, named)
 
 
-def jobs(asked: DataFrame, requires_skill: DataFrame, k: int = 100, min_overlap: int = 1) -> DataFrame:
+def jobs(asked: DataFrame, requires_skill: DataFrame, k: int = 100, min_overlap: int = 1, key: str = "job_id", named: str = "") -> DataFrame:
     """(qid, doc_id, score, overlap, rank) by priority weight."""
     value = weight(F.col("priority"), PRIORITY_WEIGHT)
-    return top_k(overlap(asked, requires_skill, "job_id", value).where(F.col("overlap") >= min_overlap), k, F.col("overlap").desc())
+    return ranked(asked, requires_skill, key, value, k, min_overlap, named)
 
 
 def upsert(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

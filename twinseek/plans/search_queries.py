@@ -37,7 +37,7 @@ def asked_ids(spark, d):
 
 def kg(spark, d, min_overlap=1):
     edges = V.has_skill(spark, d).withColumn("skill_id", F.concat(F.lit("c-"), "skill_id"))
-    return graph.persons(asked_ids(spark, d), edges, 100, min_overlap)
+    return graph.persons(asked_ids(spark, d), edges, 100, min_overlap, "person", "person_")
 
 
 def kg_docs(spark, d):
@@ -89,7 +89,7 @@ def kg_person_topk(spark, d):
 )
 def kg_job_topk(spark, d):
     edges = V.requires_skill(spark, d).withColumn("skill_id", F.concat(F.lit("c-"), "skill_id"))
-    return graph.jobs(asked_ids(spark, d), edges).select("qid", "doc_id", F.round("score", 6).alias("score"), "overlap", "rank")
+    return graph.jobs(asked_ids(spark, d), edges, key="job", named="job_").select("qid", "doc_id", F.round("score", 6).alias("score"), "overlap", "rank")
 
 
 @query(f"with {V.KG.replace('from kg_scores qualify', 'from kg_scores where overlap >= 2 qualify')} select qid, doc_id, round(score, 6) as score, overlap, rank from kg")
@@ -185,7 +185,8 @@ def final_results(spark, d):
 def profile_detail(spark, d):
     people = V.table(spark, d, "customer").where(F.col("c_custkey").isin(7, 11, 900)).select("c_custkey", F.col("c_name").alias("name"), F.concat(F.lit("person_"), "c_custkey").alias("person_id"))
     item = F.struct((-F.col("proficiency")).alias("p"), "skill_name", "category")
-    rows = people.join(V.has_skill(spark, d), "person_id", "left").groupBy("c_custkey", "name").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    edges = V.has_skill(spark, d, people.select(F.col("c_custkey").alias("person")))
+    rows = people.join(edges, "person_id", "left").groupBy("c_custkey", "name").agg(F.array_sort(F.collect_list(item)).alias("l"))
     return rows.select("c_custkey", "name", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["skill_name"], x["category"], (-x["p"]).cast("string"))), "|").alias("skills"))
 
 
@@ -193,7 +194,9 @@ def profile_detail(spark, d):
     f"with {V.SKILLS}, {V.REQUIRES}, {V.JOBS} select id, designation, industry, city, country, array_to_string(list(concat(priority, ':', skill_name) order by priority, skill_name), '|') as skills from jobs left join requires_skill on id = job_id where id in ('job_1', 'job_77', 'job_4000') group by all"
 )
 def job_detail(spark, d):
-    rows = V.jobs(spark, d).where(F.col("id").isin("job_1", "job_77", "job_4000")).join(V.requires_skill(spark, d), F.col("id") == F.col("job_id"), "left")
+    j = V.jobs(spark, d).where(F.col("id").isin("job_1", "job_77", "job_4000"))
+    edges = V.requires_skill(spark, d, j.select(F.substring("id", 5, 20).cast("long").alias("job")))
+    rows = j.join(edges, F.col("id") == F.col("job_id"), "left")
     listed = F.array_sort(F.collect_list(F.struct("priority", "skill_name")))
     return rows.groupBy("id", "designation", "industry", "city", "country").agg(listed.alias("l")).select("id", "designation", "industry", "city", "country", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["priority"], x["skill_name"])), "|").alias("skills"))
 
