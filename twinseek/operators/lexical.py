@@ -15,7 +15,7 @@ K1, B = 1.5, 0.75
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, df), and the number and mean length of documents."""
+    """postings(term, doc_id, tf, and dl if no doc_id repeats), docs(doc_id, dl), terms(term, df), and the number and mean length of documents."""
 
     postings: DataFrame
     docs: DataFrame
@@ -36,26 +36,34 @@ def load(spark, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "docs", "terms")), n, avgdl)
 
 
-#: Query terms up to which postings are filtered by a broadcast of them before they are shuffled.
-MOST_TERMS = 100_000
+#: Query terms up to which tokens are left out before anything is written or shuffled: as names in the plan, by a broadcast of them.
+NAMED_TERMS, MOST_TERMS = 20_000, 100_000
 
 
 def build(corpus: DataFrame, only: DataFrame | None = None) -> Index:
     """Index of corpus(doc_id, text). Documents without tokens count in the number and mean length. With
-    only(qid, text), an index for those queries: postings of other terms are left out before the shuffle if
-    the terms are few, and as late as the search itself if they are many. Texts are cut into tokens once: the
-    tokens are an intermediate table."""
-    cut = durable(corpus.select("doc_id", tokens(F.col("text")).alias("tokens")))
-    docs = cut.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
-    each = cut.select("doc_id", F.explode("tokens").alias("term"))
+    only(qid, text), an index for those queries: postings of other terms are left out before anything is written
+    if the terms are few, and as late as the search itself if they are many. Texts are cut into tokens once: the
+    tokens are an intermediate table. If no doc_id repeats, a term's documents are counted where they lie, and postings
+    have the length of their document (dl)."""
+    cut = corpus.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+    wanted = None
     if only is not None:
         wanted = query_terms(only).select("term").distinct()
-        if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-            each = each.join(F.broadcast(wanted), "term", "left_semi")
-    postings = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings, docs, terms, n, avgdl or 0.0)
+        few = [r.term for r in wanted.limit(NAMED_TERMS + 1).collect()]
+        if len(few) <= min(NAMED_TERMS, MOST_TERMS):
+            named = ", ".join(f"'{t}'" for t in few) or "''"  # tokens have no quotes
+            cut, wanted = cut.withColumn("tokens", F.expr(f"filter(tokens, t -> t in ({named}))")), None
+        elif wanted.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+            wanted = None
+    cut = durable(cut)
+    docs = cut.select("doc_id", "dl")
+    n, avgdl, ids = docs.agg(F.count("*"), F.avg("dl"), F.countDistinct("doc_id")).first()
+    keep = lambda each: each if wanted is None else each.join(F.broadcast(wanted), "term", "left_semi")
+    key = ["doc_id", "dl"] if ids == n else ["doc_id"]
+    postings = keep(cut.repartition("doc_id").select(*key, F.explode("tokens").alias("term"))).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    once = keep(cut.select(F.explode(F.array_distinct("tokens")).alias("term"))) if ids == n else postings
+    return Index(postings, docs, once.groupBy("term").agg(F.count("*").alias("df")), n, avgdl or 0.0)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -65,10 +73,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of every document with a query term."""
-    asked = query_terms(queries).join(index.terms, "term")
+    asked = durable(query_terms(queries).join(index.terms, "term"))  # read again, its size is known: if it is small, postings stay where they are
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
-    hits = index.postings.join(asked, "term").join(index.docs, "doc_id")
+    rows = index.postings if "dl" in index.postings.columns else index.postings.join(index.docs, "doc_id")
+    hits = rows.join(asked, "term")
     return hits.select("qid", "doc_id", (F.col("times") * idf * weight).alias("part")).groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
 
 
