@@ -107,5 +107,7 @@ def load(spark, path: str, width: int | None = None) -> DataFrame:
 def hash_encode(text: Column, width: int = 64) -> Column:
     """Deterministic encoder: every token adds one to the dimension its MD5 names."""
     hashed = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(width)))
-    count = lambda at: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    return F.transform(F.array(hashed), count)[0]
+    # Each dimension is a letter of its own, so that counting it is one pass over a text without a call for each token.
+    letters = F.array_join(F.transform(hashed, lambda h: F.element_at(F.array(*(F.lit(chr(0x100 + i)) for i in range(width))), (h + 1).cast("int"))), "")
+    count = lambda at: F.transform(F.array(*(F.lit(chr(0x100 + i)) for i in range(width))), lambda c: (F.length(at) - F.length(F.replace(at, c, F.lit("")))).cast("double"))
+    return F.transform(F.array(letters), count)[0]

@@ -70,7 +70,8 @@ def vector_norms(spark, d):
 )
 def hash_encode(spark, d):
     v = V.texts(spark, d).select("doc_id", vector.hash_encode(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("dims"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("v").alias("top")).where("dims > 0")
+    row = F.struct(F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("dims"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("v").alias("top"))
+    return v.select("doc_id", F.inline(F.filter(F.array(row), lambda r: r["dims"] > 0)))  # a filter on dims would encode each text once more
 
 
 @query(f"with {V.SKILLS}, {V.SKILL_QUERIES}, {V.CANON} select qid, cast(pos as integer) as pos, skill_id from asked_ids")
