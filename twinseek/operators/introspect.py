@@ -26,14 +26,15 @@ FIELDS = (
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(name, dtype, null_pct, n_distinct, sample) of each column in one pass."""
-    aggs = []
-    for c, _ in df.dtypes:
-        v = F.col(f"`{c}`").cast("string")
-        aggs += [F.avg(v.isNull().cast("double")).alias(f"{c}|n"), F.countDistinct(v).alias(f"{c}|d"), F.min(F.when(F.trim(v) != "", F.substring(v, 1, 80))).alias(f"{c}|s")]
-    row = df.agg(*aggs)
-    each = [F.struct(F.lit(c).alias("name"), F.lit(t).alias("dtype"), F.round(100 * F.coalesce(F.col(f"`{c}|n`"), F.lit(0.0)), 4).alias("null_pct"), F.col(f"`{c}|d`").alias("n_distinct"), F.col(f"`{c}|s`").alias("sample")) for c, t in df.dtypes]
-    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    """(name, dtype, null_pct, n_distinct, sample) of each column: shares and samples in one pass, different values of
+    all columns in another, in which each value is a key and nothing is sorted."""
+    kinds, texts = df.dtypes, [F.col(f"`{c}`").cast("string") for c, _ in df.dtypes]
+    aggs = [x for i, v in enumerate(texts) for x in (F.avg(v.isNull().cast("double")).alias(f"n{i}"), F.min(F.when(F.trim(v) != "", F.substring(v, 1, 80))).alias(f"s{i}"))]
+    each = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.lit(t).alias("dtype"), F.round(100 * F.coalesce(F.col(f"n{i}"), F.lit(0.0)), 4).alias("null_pct"), F.col(f"s{i}").alias("sample")) for i, (c, t) in enumerate(kinds)]
+    shares = df.agg(*aggs).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(texts)))).alias("x")).select("x.i", "x.v").where("v is not null")
+    counts = values.distinct().groupBy("i").agg(F.count("*").alias("n_distinct"))
+    return shares.join(counts, "i", "left").select("name", "dtype", "null_pct", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "sample")
 
 
 def shapes(df: DataFrame, column: str, key: str) -> DataFrame:
