@@ -26,7 +26,7 @@ def top_skills(edges: DataFrame, entity: str, order: list, n: int = 3) -> DataFr
 
 def candidate_queries(edges: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     """Queries for people with three or more skills that are not soft: their three best, worded with the least level."""
-    hard = edges.where("category <> 'soft'").groupBy("person_id", "skill_name").agg(F.max("proficiency").alias("value"))
+    hard = edges.where("category <> 'soft'").repartition("person_id").groupBy("person_id", "skill_name").agg(F.max("proficiency").alias("value"))
     top = top_skills(hard, "person_id", [F.col("value").desc(), "skill_name"]).where("n_skills >= 3")
     picked = seeded(top, "person_id", n, seed, "cand")
     level = F.array_min("values").cast("int")
@@ -38,7 +38,7 @@ def candidate_queries(edges: DataFrame, n: int = 50, seed: int = 42) -> DataFram
 
 def job_queries(job_skills: DataFrame, titles: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     """Queries for jobs(job_id, title) with a title and a skill: the first three by priority and name."""
-    rows = job_skills.groupBy("job_id", "skill_name").agg(F.min("priority").alias("value"))
+    rows = job_skills.repartition("job_id").groupBy("job_id", "skill_name").agg(F.min("priority").alias("value"))
     top = top_skills(rows, "job_id", ["value", "skill_name"]).join(titles.where("title <> ''"), "job_id")
     picked = seeded(top, "job_id", n, seed, "job")
     return picked.select("qid", F.lit("job_search").alias("task"), F.concat(F.col("title"), F.lit(" role with "), F.array_join("names", ", ")).alias("text"), F.col("job_id").alias("anchor_id"), F.col("names").alias("query_skills"), F.col("title").alias("designation"))
@@ -48,12 +48,11 @@ def judge(queries: DataFrame, edges: DataFrame, entity: str, least_overlap: int
     """(qid, doc_id, rel, overlap, jaccard): 2 for the anchor, 1 for entities whose skill set is at least
     `threshold` alike and shares min(least_overlap, number of query skills). Only entities that share a skill
     are looked at; the others cannot qualify."""
-    sets = edges.select(F.col(entity).alias("doc_id"), "skill_name").distinct()
-    asked = queries.select("qid", F.explode("query_skills").alias("skill_name")).distinct()
-    sizes = asked.groupBy("qid").agg(F.count("*").alias("n_q"))
-    shared = asked.join(sets, "skill_name").groupBy("qid", "doc_id").agg(F.count("*").alias("overlap"))
-    totals = sets.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_d"))
-    scored = shared.join(sizes, "qid").join(totals, "doc_id").withColumn("jaccard", F.col("overlap") / (F.col("n_q") + F.col("n_d") - F.col("overlap")))
+    sets = edges.select(F.col(entity).alias("doc_id"), "skill_name").repartition("doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("skill_name")).alias("_s"))
+    asked = queries.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("query_skills"))).alias("_q")).select("qid", F.size("_q").alias("n_q"), F.explode("_q").alias("skill_name"))
+    each = sets.select("doc_id", F.size("_s").alias("n_d"), F.explode("_s.skill_name").alias("skill_name")).join(asked, "skill_name")
+    shared = each.groupBy("doc_id", "n_d", "qid", "n_q").agg(F.count("*").alias("overlap"))
+    scored = shared.withColumn("jaccard", F.col("overlap") / (F.col("n_q") + F.col("n_d") - F.col("overlap")))
     near = scored.where((F.col("overlap") >= F.least(F.lit(least_overlap), F.col("n_q"))) & (F.col("jaccard") >= threshold))
     anchors = queries.select("qid", F.col("anchor_id").alias("doc_id"), F.lit(2).alias("rel"))
     return near.select("qid", "doc_id", F.lit(1).alias("rel")).union(anchors).groupBy("qid", "doc_id").agg(F.max("rel").alias("rel"))
@@ -68,6 +67,8 @@ def judge_jobs(queries: DataFrame, edges: DataFrame, titles: DataFrame, threshol
 
 #: Words whose hash brings a text and a passage together: those after a passage's first, which may be cut.
 KEY_WORDS = 5
+#: First words of the hashed ones up to which texts are hashed only where one of them stands.
+NAMED_WORDS = 2_000
 
 
 def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
@@ -80,7 +81,10 @@ def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
     key = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, KEY_WORDS), " "))
     long = passages.where(F.size(words) >= KEY_WORDS + 2).select("item_id", F.col("text").alias("_p"), key(words, F.lit(2)).alias("_k"))
     n = F.size("_w")
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - KEY_WORDS + 1, F.lit(1))), lambda i: key(F.col("_w"), i)))
+    starts = [r[0] for r in passages.where(F.size(words) >= KEY_WORDS + 2).select(F.element_at(words, 2)).distinct().limit(NAMED_WORDS + 1).collect()]
+    at = F.sequence(F.lit(1), F.greatest(n - KEY_WORDS + 1, F.lit(1)))
+    at = at if len(starts) > NAMED_WORDS else F.filter(at, lambda i: F.get(F.col("_w"), i - 1).isin(*starts))
+    keys = F.array_distinct(F.transform(at, lambda i: key(F.col("_w"), i)))
     each = texts.withColumn("_w", words).select("doc_id", F.explode(keys).alias("_k"))
     near = each.join(long.select("item_id", "_k"), "_k").select("doc_id", "item_id").distinct()
     found = near.join(long.select("item_id", "_p"), "item_id").join(texts, "doc_id").where(F.contains(F.col("text"), F.col("_p")))

@@ -129,14 +129,18 @@ _JUDGED = f"with {_CAND}, {judge_sql('cands', 'has_skill', 'person_id', 2)}, all
 
 @query(_JUDGED.replace("0.05", "0.5"))
 def evalset_candidate_judged(spark, d):
-    edges = V.has_skill(spark, d)
-    return evalset.judge(evalset.candidate_queries(edges), edges, "person_id")
+    return candidate_judgements(spark, d, 0.5)
 
 
 @query(f"with {_CAND}, {judge_sql('cands', 'has_skill', 'person_id', 2)}, all_ as (select qid, doc_id, 1 as rel from near union all select qid, person_id, 2 from cands) select qid, doc_id, max(rel) as rel from all_ group by 1, 2")
 def evalset_candidate_qrels(spark, d):
-    edges = V.has_skill(spark, d)
-    return evalset.judge(evalset.candidate_queries(edges), edges, "person_id", 2, 0.05)
+    return candidate_judgements(spark, d, 0.05)
+
+
+def candidate_judgements(spark, d, threshold):
+    """Edges and queries are written once; both are read more than once."""
+    edges = durable(V.has_skill(spark, d).select("person_id", "skill_name", "category", "proficiency"))
+    return evalset.judge(durable(evalset.candidate_queries(edges)), edges, "person_id", 2, threshold)
 
 
 _JOBQ = (
@@ -148,8 +152,8 @@ _JOBQ = (
 @query(f"with {_JOBQ}, {judge_sql('jobqs', 'requires_skill', 'job_id', 1).replace('0.05', '0.5')}, all_ as (select qid, doc_id, 1 as rel from near union all select qid, job_id, 2 from jobqs), m as (select qid, doc_id, max(rel) as rel from all_ group by 1, 2) select m.qid, m.doc_id, m.rel from m join jobqs q using (qid) join jobs j on j.id = m.doc_id where m.rel = 2 or contains(lower(j.designation), lower(q.designation)) or contains(lower(q.designation), lower(j.designation))")
 def evalset_job(spark, d):
     titles = V.jobs(spark, d).select(F.col("id").alias("job_id"), F.col("designation").alias("title"))
-    edges = V.requires_skill(spark, d)
-    return evalset.judge_jobs(evalset.job_queries(edges, titles), edges, titles)
+    edges = durable(V.requires_skill(spark, d).select("job_id", "skill_name", "priority"))
+    return evalset.judge_jobs(durable(evalset.job_queries(edges, titles)), edges, titles)
 
 
 @query(f"with {V.JUDGEMENTS}, {V.TEXT_QUERIES}, p as (select concat(qid, '_p') as qid, qid as source_qid, lower(text) as text from text_queries) select q.qid, q.text, null as source_qid, (select count(*) from judgements j where j.qid = q.qid) as n_rel from text_queries q union all select p.qid, p.text, p.source_qid, (select count(*) from judgements j where j.qid = p.source_qid) from p")
