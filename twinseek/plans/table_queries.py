@@ -112,7 +112,8 @@ def meta_left_join(spark, d):
 @query(f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.REQUIRES} select skill_id, min(skill_name) as skill_name, count(*) as occurrences from (select skill_id, skill_name from person_edges union all select skill_id, skill_name from requires_skill) group by 1")
 def skill_catalog(spark, d):
     both = V.person_edges(spark, d).select("skill_id", "skill_name").union(V.requires_skill(spark, d).select("skill_id", "skill_name"))
-    return both.groupBy("skill_id").agg(F.min("skill_name").alias("skill_name"), F.count("*").alias("occurrences"))
+    named = both.groupBy("skill_id", "skill_name").agg(F.count("*").alias("n"))  # a least text is found by sorting: only among counted names
+    return named.groupBy("skill_id").agg(F.min("skill_name").alias("skill_name"), F.sum("n").alias("occurrences"))
 
 
 @query(f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.HAS_SKILL} select person_id, array_to_string(list(skill_name order by proficiency desc, skill_name, category)[1:3], '|') as names, list_min(list(proficiency order by proficiency desc, skill_name, category)[1:3]) as least from has_skill where category <> 'soft' group by 1")
@@ -315,13 +316,15 @@ def graph_4way(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     need = o.join(at, F.col("o_custkey") == F.col("jc")).select("o_orderkey").join(li.select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_partkey").distinct()
     have = li.where("l_quantity >= 21").join(o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c_custkey")), F.col("l_orderkey") == F.col("k")).select("c_custkey", "l_partkey").distinct()
-    return need.join(have, "l_partkey").groupBy("o_orderkey", "c_custkey").agg(F.count("*").alias("shared"))
+    pairs = need.join(have, "l_partkey").select("o_orderkey", "c_custkey")
+    return pairs.repartition("o_orderkey").groupBy("o_orderkey", "c_custkey").agg(F.count("*").alias("shared"))  # few pairs repeat: nothing is gained by counting before they are dealt
 
 
 @query(f"with {V.SKILLS}, {V.PERSON_EDGES}, {V.HAS_SKILL} select person_id, cast(sum(proficiency) as bigint) as total, rank from (select person_id, skill_id, proficiency, cast(row_number() over (partition by person_id order by proficiency desc, skill_name, category) as integer) as rank from has_skill) where rank <= 3 group by all")
 def detail_order(spark, d):
-    w = Window.partitionBy("person_id").orderBy(F.col("proficiency").desc(), "skill_name", "category")
-    return V.has_skill(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 3").groupBy("person_id", "rank").agg(F.sum("proficiency").alias("total"))
+    w = Window.partitionBy("person").orderBy(F.col("proficiency").desc(), "skill_name", "category")
+    top = V.has_skill(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 3").groupBy("person", "rank").agg(F.sum("proficiency").alias("total"))
+    return top.select(F.concat(F.lit("person_"), "person").alias("person_id"), "rank", "total")
 
 
 _COLUMNS = {"id": "c_custkey", "full_name": "c_name", "yoe": "c_acctbal", "city": "n_name", "skills": "concat(c_mktsegment, ',', n_name, ',x')"}
